@@ -54,16 +54,13 @@ def run_counts(
     )
     joined = tallies.join(items.select(key, "correct"), key, "left")
     known = F.col("correct").isNotNull()
-
-    def rows_where(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("_n")).otherwise(0)).cast("bigint")
-
+    hit = known & F.col("pred").eqNullSafe(F.col("correct"))
     return joined.groupBy(*by).agg(
-        F.sum("_n").cast("bigint").alias("n"),
-        rows_where(F.col("pred").isNotNull()).alias("answered"),
-        F.sum("_blanks").cast("bigint").alias("blank"),
-        rows_where(~known).alias("no_reference"),
-        rows_where(known & F.col("pred").eqNullSafe(F.col("correct"))).alias("hits"),
+        _rows("_n").alias("n"),
+        _rows("_n", F.col("pred").isNotNull()).alias("answered"),
+        _rows("_blanks").alias("blank"),
+        _rows("_n", ~known).alias("no_reference"),
+        _rows("_n", hit).alias("hits"),
     )
 
 
@@ -80,8 +77,7 @@ def score_runs(
     letter leave the mean and are counted in ``no_reference``.
     """
     counts = run_counts(responses, items, by, shots, key)
-    scored = F.nullif(F.col("n") - F.col("no_reference"), F.lit(0).cast("bigint"))
-    em = F.round(F.col("hits") / scored.cast("double"), _PLACES)
+    em = _share(F.col("hits"), F.col("n") - F.col("no_reference"))
     return counts.withColumn("em", em).drop("hits")
 
 
@@ -97,6 +93,27 @@ def row_verdicts(
     return joined.withColumn("verdict", compare.verdict(F.col("pred"), F.col("correct")))
 
 
+def _rows(weight: str | None, condition: Column | None = None) -> Column:
+    """Rows of a group that meet ``condition``.
+
+    ``weight`` names a column that says how many rows each row stands for, for rows combined before
+    a join.
+    """
+    one = F.lit(1) if weight is None else F.col(weight)
+    counted = one if condition is None else F.when(condition, one).otherwise(0)
+    return F.sum(counted).cast("bigint")
+
+
+def _share(hits: Column, rows: Column) -> Column:
+    """``hits / rows``, null over no rows, rounded so that summation order does not show."""
+    return F.round(hits / F.nullif(rows, F.lit(0).cast("bigint")).cast("double"), _PLACES)
+
+
+def tally(df: DataFrame, columns: list[str], weight: str = "_n") -> DataFrame:
+    """Equal rows combined to one, with their number; done before a join, it disarms hot keys."""
+    return df.groupBy(*columns).agg(F.count("*").alias(weight))
+
+
 def score_sheet(
     df: DataFrame,
     by: list[str],
@@ -104,6 +121,7 @@ def score_sheet(
     ref: str,
     mode: str = "default",
     normalise: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact match over rows that carry both prediction and reference.
 
@@ -120,12 +138,12 @@ def score_sheet(
         reference = compare.text_or_empty(reference)
     if normalise:
         prediction, reference = compare.normalised(prediction), compare.normalised(reference)
-    hit = compare.exact(prediction, reference)
+    hit = known & (compare.exact(prediction, reference) == 1)
     return df.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.count(F.when(F.col(pred).isNotNull(), True)).alias("answered"),
-        F.count(F.when(~known, True)).alias("no_reference"),
-        mean_score(F.when(known, hit)).alias("em"),
+        _rows(weight).alias("n"),
+        _rows(weight, F.col(pred).isNotNull()).alias("answered"),
+        _rows(weight, ~known).alias("no_reference"),
+        _share(_rows(weight, hit), _rows(weight, known)).alias("em"),
     )
 
 
@@ -149,20 +167,13 @@ def score_numeric(df: DataFrame, by: list[str], response: str, answer: str) -> D
     )
 
 
-def _rows(weight: str | None) -> Column:
-    """Rows of a group; with ``weight``, a column saying how many rows each row stands for."""
-    return F.count("*") if weight is None else F.sum(weight).cast("bigint")
-
-
 def text_accuracy(
     df: DataFrame, by: list[str], pred: str, answer: str, weight: str | None = None
 ) -> DataFrame:
     """Share of predictions equal to the option text, case and all; null over no rows."""
-    one = F.lit(1) if weight is None else F.col(weight)
-    hits = F.sum(F.when(F.col(pred) == F.col(answer), one).otherwise(0))
+    hits = _rows(weight, F.col(pred) == F.col(answer))
     return df.groupBy(*by).agg(
-        _rows(weight).alias("n"),
-        F.round(hits / F.nullif(_rows(weight), F.lit(0)).cast("double"), _PLACES).alias("accuracy"),
+        _rows(weight).alias("n"), _share(hits, _rows(weight)).alias("accuracy")
     )
 
 

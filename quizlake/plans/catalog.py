@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizlake.plans import scores  # noqa: F401
+from quizlake.plans import preparation, samples, scores  # noqa: F401
 from quizlake.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quizlake.functions import compare, extract
 from quizlake.functions.options import option_of_letter
 from quizlake.operators import scoring
-from quizlake.operators.joins import attach
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
@@ -164,13 +163,11 @@ def letter_in_conversations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _graded(spark: SparkSession, folder: str, rule) -> DataFrame:
-    """(run, pred, correct) rows, with the reply's item brought in by key."""
-    replies = fx.responses(spark, folder).select(
-        "response_id", "run", "item_id", rule(F.col("response")).alias("pred")
-    )
-    items = fx.mcq(spark, folder).select("item_id", "correct")
-    return attach(replies, items, "item_id", "left")
+def _graded(replies: DataFrame, items: DataFrame, rule) -> DataFrame:
+    """(run, pred, correct, _n): replies combined per item and answer, then joined to the items."""
+    answers = replies.select("run", "item_id", rule(F.col("response")).alias("pred"))
+    tallies = scoring.tally(answers, ["run", "item_id", "pred"])
+    return tallies.join(items.select("item_id", "correct"), "item_id", "left")
 
 
 _SHEET = """
@@ -200,8 +197,8 @@ def _sheet(rule: str, known: str, hit: str) -> str:
     ),
 )
 def em_normalised(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _graded(spark, folder, extract.clean_letter)
-    return scoring.score_sheet(rows, ["run"], "pred", "correct", normalise=True)
+    rows = _graded(fx.responses(spark, folder), fx.mcq(spark, folder), extract.clean_letter)
+    return scoring.score_sheet(rows, ["run"], "pred", "correct", normalise=True, weight="_n")
 
 
 @register(
@@ -213,8 +210,10 @@ def em_normalised(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def em_legacy(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _graded(spark, folder, extract.letter_after_phrase)
-    return scoring.score_sheet(rows, ["run"], "pred", "correct", mode="legacy", normalise=True)
+    rows = _graded(fx.responses(spark, folder), fx.mcq(spark, folder), extract.letter_after_phrase)
+    return scoring.score_sheet(
+        rows, ["run"], "pred", "correct", mode="legacy", normalise=True, weight="_n"
+    )
 
 
 @register(
@@ -223,9 +222,9 @@ def em_legacy(spark: SparkSession, folder: str) -> DataFrame:
 )
 def em_nullsafe(spark: SparkSession, folder: str) -> DataFrame:
     """Two missing values count as equal; letter E stands in for a missing reference."""
-    rows = _graded(spark, folder, extract.last_letter)
+    rows = _graded(fx.responses(spark, folder), fx.mcq(spark, folder), extract.last_letter)
     rows = rows.withColumn("correct", F.nullif("correct", F.lit("E")))
-    return scoring.score_sheet(rows, ["run"], "pred", "correct", mode="nullsafe")
+    return scoring.score_sheet(rows, ["run"], "pred", "correct", mode="nullsafe", weight="_n")
 
 
 @register(
@@ -247,12 +246,9 @@ def em_nullsafe(spark: SparkSession, folder: str) -> DataFrame:
 )
 def em_raw(spark: SparkSession, folder: str) -> DataFrame:
     """Exact match without normalising, as a fraction and as a percentage."""
-    replies = fx.strict_responses(spark, folder).select(
-        "response_id", "run", "item_id", extract.strict_letter(F.col("response")).alias("pred")
-    )
-    items = fx.mcq(spark, folder).select("item_id", F.upper("correct").alias("correct"))
-    rows = attach(replies, items, "item_id", "left")
-    sheet = scoring.score_sheet(rows, ["run"], "pred", "correct")
+    items = fx.mcq(spark, folder).withColumn("correct", F.upper("correct"))
+    rows = _graded(fx.strict_responses(spark, folder), items, extract.strict_letter)
+    sheet = scoring.score_sheet(rows, ["run"], "pred", "correct", weight="_n")
     em = F.col("em")
     return sheet.withColumns(
         {"fraction": compare.as_fraction(em), "percent": compare.as_percent(em)}
@@ -348,10 +344,8 @@ _PREDICTED = """
 
 def _predicted(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted option text beside the right one, both combined per item before the join."""
-    tallies = (
-        fx.predictions(spark, folder)
-        .groupBy("run", "item_id", "choice", "silent")
-        .agg(F.count("*").alias("_n"))
+    tallies = scoring.tally(
+        fx.predictions(spark, folder), ["run", "item_id", "choice", "silent"]
     )
     items = fx.mcq(spark, folder).select("item_id", "options", "correct")
     options = F.col("options")
