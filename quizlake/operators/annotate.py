@@ -11,10 +11,12 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import quizlake
 from quizlake import fixed_values as fv
 from quizlake.functions.compare import answer_status, is_valid
 from quizlake.operators.joins import pending
@@ -26,6 +28,9 @@ Responder = Callable[[list[str]], list[str]]
 
 _MOST_PER_ROUND = 2**31 - 1
 
+# The few lines that run in Python workers travel with the job: workers need no copy of the package.
+cloudpickle.register_pickle_by_value(quizlake)
+
 
 def template_responder() -> Responder:
     """A stand-in that is no model: letter or refusal, from the prompt's hash alone."""

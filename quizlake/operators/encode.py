@@ -47,6 +47,19 @@ def _with_ids(words: DataFrame, vocabulary: DataFrame, broadcast_bytes: int) ->
     return salted.join(spread, ["token", "_salt"], "left").drop("_salt")
 
 
+def _placed(name: str, field: int, length: int) -> Column:
+    """The first ``length`` words of a text with their places, marked with their field."""
+    cut = F.coalesce(F.slice(name, 1, length), F.array().cast("array<string>"))
+    return F.transform(
+        cut, lambda token, i: F.struct(F.lit(field).alias("_field"), i.alias("_pos"), token.alias("token"))
+    )
+
+
+def _ids_of(field: int) -> Column:
+    own = F.filter("_ids", lambda word: word["_field"] == field)
+    return F.transform(own, lambda word: word["id"])
+
+
 def encode(
     df: DataFrame,
     key: str,
@@ -72,15 +85,7 @@ def encode(
 
     split = df.select(*carried, *[tokens(F.col(name)).alias(name) for name in names])
     counts = [F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(f"{name}_tokens") for name in names]
-    kept = [
-        F.transform(
-            F.coalesce(F.slice(name, 1, lengths[name]), F.array().cast("array<string>")),
-            lambda token, i, field=field: F.struct(
-                F.lit(field).alias("_field"), i.alias("_pos"), token.alias("token")
-            ),
-        )
-        for field, name in enumerate(names)
-    ]
+    kept = [_placed(name, field, lengths[name]) for field, name in enumerate(names)]
     group = [*carried, *[f"{name}_tokens" for name in names]]
     # inline_outer keeps a row for texts without words.
     words = split.select(*carried, *counts, F.concat(*kept).alias("_words")).select(
@@ -92,8 +97,7 @@ def encode(
     one = F.when(F.col("_pos").isNotNull(), F.struct("_field", "_pos", token_id.alias("id")))
     regrouped = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(one)).alias("_ids"))
     for field, name in enumerate(names):
-        own = F.filter("_ids", lambda w, field=field: w["_field"] == field)
-        regrouped = regrouped.withColumn(f"{name}_ids", F.transform(own, lambda w: w["id"]))
+        regrouped = regrouped.withColumn(f"{name}_ids", _ids_of(field))
     regrouped = regrouped.drop("_ids")
 
     if padding == "longest":

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from quizlake.plans import preparation, samples, scores  # noqa: F401
+from quizlake.plans import (  # noqa: F401
+    annotation,
+    encoding,
+    preparation,
+    runs,
+    samples,
+    scores,
+)
 from quizlake.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -69,7 +69,7 @@ def run_file_status(
     pattern: str = "*.csv",
     record_separator: str | None = None,
 ) -> DataFrame:
-    """One row per file: (file, status, n, blank, em), whatever is in the file.
+    """One row per file: (path, file, status, n, blank, em), whatever is in the file.
 
     ``status`` is ``ok``, ``empty_file``, ``no_rows`` or ``bad_columns``; only ``ok`` files get a
     score. Everything is one aggregation per file, joined to the file listing.
@@ -84,13 +84,13 @@ def run_file_status(
     text = F.col("llm_answer")
     letter = extract.last_letter_after(text, n_shot) if n_shot else extract.last_letter(text)
     rows = reader.csv(folder).select(
-        _file_name().alias("file"),
+        F.col("_metadata.file_path").alias("path"),
         _is_header().alias("_header"),
         text.isNull().alias("_blank"),
         F.when(letter.eqNullSafe(F.col("correct")) & letter.isNotNull(), 1).otherwise(0).alias("_hit"),
     )
     data = ~F.col("_header")
-    per_file = rows.groupBy("file").agg(
+    per_file = rows.groupBy("path").agg(
         F.max("_header").alias("_known"),
         F.count_if(data).alias("n"),
         F.count_if(data & F.col("_blank")).alias("blank"),
@@ -101,7 +101,11 @@ def run_file_status(
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .load(folder)
-        .select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_name").alias("file"),
+            "length",
+        )
     )
     status = (
         F.when((F.col("length") == 0) | F.col("_known").isNull(), "empty_file")
@@ -111,9 +115,10 @@ def run_file_status(
     )
     scored = F.col("status") == "ok"
     return (
-        listing.join(per_file, "file", "left")
+        listing.join(per_file, "path", "left")
         .withColumn("status", status)
         .select(
+            "path",
             "file",
             "status",
             F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
