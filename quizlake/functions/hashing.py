@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def seeded_hash(seed: int | str, *keys: Column | str) -> Column:
-    """``md5('seed:key')`` as hex text: the same in any partitioning, order or engine."""
+    """``md5('seed:key')`` as hex text: the same in any partitioning, order or engine. Never null."""
     parts: list[Column] = [F.lit(str(seed))]
     for key in keys:
         column = F.col(key) if isinstance(key, str) else key
-        parts += [F.lit(":"), column.cast("string")]
+        parts += [F.lit(":"), F.coalesce(column.cast("string"), F.lit(""))]
     return F.md5(F.concat(*parts))
 
 

@@ -2,8 +2,8 @@
 
 Each question draws ``n_shot`` different rows of the pool, never itself, uniformly and in drawn
 order. The draw is arithmetic on places in the pool's seeded order, so it costs one number per
-shot; the examples then come in by an equi-join on the place. Places are drawn uniformly, so that
-join has no hot key, and the cost is linear in the questions.
+shot. Places turn into keys by a join of narrow rows, and the examples' texts come in by key. Places
+are drawn uniformly, so neither join has a hot key, and the cost is linear in the questions.
 """
 
 from __future__ import annotations
@@ -47,28 +47,28 @@ def draw_examples(
     key: str = "item_id",
     seed: int = fv.SAMPLE_SEED,
     pool: DataFrame | None = None,
-    example: Column | None = None,
 ) -> DataFrame:
-    """Rows of (key, slot, ex_id[, example]), ``n_shot`` per question while the pool has that many.
+    """Rows of (key, slot, ex_id), ``n_shot`` per question while the pool has that many others.
 
-    Without ``pool`` the examples come from the questions themselves. ``example`` is a column over
-    the pool, the rendered text of one example.
+    Without ``pool`` the examples come from the questions themselves.
     """
     if n_shot < 1:
         raise ValueError("n_shot must be at least 1")
     source = questions if pool is None else pool
-    carried = [] if example is None else [example.alias("example")]
-    ranked = seeded_rank_with_total(source.select(key, *carried), key, seed, "_rank", "_total")
-    placed = ranked.withColumn("_place", F.col("_rank") - 1)
-    own = placed.select(key, F.col("_place").alias("_own"), "_total")
-    if pool is not None:
-        total = pool.count()
-        own = questions.select(key).join(own.drop("_total"), key, "left")
-        own = own.withColumn("_total", F.lit(total).cast("bigint"))
-    places = _drawn_places(n_shot, seed, key, F.col("_own"), F.col("_total"))
-    drawn = own.select(key, F.posexplode(places).alias("slot", "_place"))
-    examples = placed.drop("_rank", "_total").withColumnRenamed(key, "ex_id")
-    return drawn.join(examples, "_place").drop("_place")
+    ranked = seeded_rank_with_total(source.select(key), key, seed, "_rank", "_total")
+    placed = ranked.select(key, (F.col("_rank") - 1).alias("_place"), "_total")
+    if pool is None:
+        own = placed.withColumnRenamed("_place", "_own")
+    else:
+        total = F.lit(pool.count()).cast("bigint")
+        places = placed.select(key, F.col("_place").alias("_own"))
+        own = questions.select(key).join(places, key, "left").withColumn("_total", total)
+    drawn_places = _drawn_places(n_shot, seed, key, F.col("_own"), F.col("_total"))
+    drawn = own.select(key, "_total", F.posexplode(drawn_places).alias("slot", "_place"))
+    # The total is the same on every row. It takes part in the join so that both sides need the
+    # same columns of the ranking, which Spark then shuffles once for both.
+    examples = placed.withColumnRenamed(key, "ex_id")
+    return drawn.join(examples, ["_place", "_total"]).select(key, "slot", "ex_id")
 
 
 def _with_examples(
@@ -79,7 +79,9 @@ def _with_examples(
     seed: int,
     pool: DataFrame | None,
 ) -> DataFrame:
-    drawn = draw_examples(questions, n_shot, key, seed, pool, example)
+    source = questions if pool is None else pool
+    texts = source.select(F.col(key).alias("ex_id"), example.alias("example"))
+    drawn = draw_examples(questions, n_shot, key, seed, pool).join(texts, "ex_id")
     # At most n_shot rows per question, brought back into drawn order.
     blocks = drawn.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("slot", "example"))).alias("_blocks")
