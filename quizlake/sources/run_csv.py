@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quizlake.functions import extract
 from quizlake.functions.options import options_from_list_text, options_to_list_text
-from quizlake.functions.runnames import file_stem
+from quizlake.functions.runnames import file_stem, last_segment
 from quizlake.schema import RUN_CSV
 
 RUN_FILES = "*_test.csv"
@@ -30,8 +30,15 @@ def write_run_csv(df: DataFrame, path: str, record_separator: str | None = None)
     rows.write.options(**options).partitionBy("run").csv(path)
 
 
-def _file_name() -> Column:
-    return F.col("_metadata.file_name")
+def _path(column: Column) -> Column:
+    """A file's address in one spelling; Spark writes local ones with one slash or with three."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
+
+
+def _file_name(path: Column) -> Column:
+    """File name of an address, its escapes undone."""
+    encoded = F.replace(last_segment(path), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(encoded)
 
 
 def read_run_csv(
@@ -50,7 +57,7 @@ def read_run_csv(
     )
     df = reader.csv(folder)
     if "run" not in df.columns:
-        df = df.withColumn("run", file_stem(_file_name()))
+        df = df.withColumn("run", file_stem(_file_name(F.col("_metadata.file_path"))))
     return df.withColumn("options", options_from_list_text(F.col("options")))
 
 
@@ -83,8 +90,9 @@ def run_file_status(
     )
     text = F.col("llm_answer")
     letter = extract.last_letter_after(text, n_shot) if n_shot else extract.last_letter(text)
-    rows = reader.csv(folder).select(
-        F.col("_metadata.file_path").alias("path"),
+    records = reader.csv(folder)
+    rows = records.select(
+        _path(F.col("_metadata.file_path")).alias("path"),
         _is_header().alias("_header"),
         text.isNull().alias("_blank"),
         F.when(letter.eqNullSafe(F.col("correct")) & letter.isNotNull(), 1).otherwise(0).alias("_hit"),
@@ -96,19 +104,11 @@ def run_file_status(
         F.count_if(data & F.col("_blank")).alias("blank"),
         F.round(F.avg(F.when(data, F.col("_hit"))), 6).alias("em"),
     )
-    # The listing reads names and lengths only, so a file without a record still gives a row.
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(folder)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("file"),
-            "length",
-        )
-    )
+    # Names alone, as Spark has listed them, empty files too; so a file without a record has a row.
+    names = [(name,) for name in records.inputFiles()]
+    listing = spark.createDataFrame(names, "path string").select(_path(F.col("path")).alias("path"))
     status = (
-        F.when((F.col("length") == 0) | F.col("_known").isNull(), "empty_file")
+        F.when(F.col("_known").isNull(), "empty_file")
         .when(~F.col("_known"), "bad_columns")
         .when(F.col("n") == 0, "no_rows")
         .otherwise("ok")
@@ -119,7 +119,7 @@ def run_file_status(
         .withColumn("status", status)
         .select(
             "path",
-            "file",
+            _file_name(F.col("path")).alias("file"),
             "status",
             F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
             F.when(scored, F.col("blank")).alias("blank"),
