@@ -118,12 +118,14 @@ def annotate_until(
     prompt: str = "prompt",
     seed: int = fv.SAMPLE_SEED,
     max_rounds: int = 20,
+    margin: float = 0.1,
     **options,
 ) -> DataFrame:
     """Ask until ``target`` valid answers are stored; the first ``target`` of them, in seeded order.
 
     Each round takes the lowest pending items by seeded hash, as many as the yield so far calls
-    for, and appends their replies to ``table``. A crash loses one round at most, and a rerun goes
+    for and ``margin`` more, and appends their replies to ``table``. The margin spares rounds that
+    would ask for a handful of rows; the first round, which knows no yield yet, has none. A crash loses one round at most, and a rerun goes
     on from what is stored. Rounds stop when the target is met or nothing is pending; all stored
     replies stay in the table.
     """
@@ -136,7 +138,10 @@ def annotate_until(
         if valid >= target:
             break
         # Nothing valid yet says nothing about the yield: ask twice as many as so far.
-        wanted = math.ceil((target - valid) * asked / valid) if valid else max(target, 2 * asked)
+        if valid:
+            wanted = math.ceil((target - valid) * asked / valid * (1 + margin))
+        else:
+            wanted = max(target, 2 * asked)
         wanted = min(wanted, _MOST_PER_ROUND)
         batch = sample_uniform(pending(items, stored, key), wanted, key, seed)
         replies = annotate(batch, make_responder, carried, prompt, **options)

@@ -1,7 +1,13 @@
-"""Texts to fixed-length id arrays over a word vocabulary."""
+"""Texts to fixed-length id arrays over a word vocabulary.
+
+A vocabulary of checked size becomes a literal: its words, spread over small maps by hash, so that
+encoding is a projection without a join or a shuffle. A larger one is joined to the words instead.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +16,9 @@ from quizlake import fixed_values as fv
 from quizlake.operators.joins import attach
 from quizlake.session import materialise
 
-_BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest vocabulary to send along with the tasks.
+_LITERAL_BYTES = 16 * 1024 * 1024
+_WORDS_PER_MAP = 8
 _SALTS = 32
 
 
@@ -25,7 +33,7 @@ def build_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     Words are counted on the map side before they are shuffled, so a very common word costs one
     row per task.
     """
-    words = df.select(F.explode(tokens(F.col(text))).alias("token"))
+    words = df.select(F.explode(F.split(text, fv.TOKEN_SEPARATOR)).alias("token")).where("token <> ''")
     counted = words.groupBy("token").agg(F.count("*").alias("n"))
     top = counted.orderBy(F.desc("n"), "token").limit(size)
     # Numbers only the ``size`` rows kept.
@@ -33,25 +41,47 @@ def build_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     return top.withColumn("token_id", (rank + (fv.FIRST_TOKEN_ID - 1)).cast("bigint"))
 
 
-def _with_ids(words: DataFrame, vocabulary: DataFrame, broadcast_bytes: int) -> DataFrame:
-    """``token_id`` beside each token, null for words outside the vocabulary."""
-    ids = materialise(vocabulary.select("token", "token_id"), "vocabulary")
-    size = ids.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
-    if size <= broadcast_bytes:
-        return words.join(F.broadcast(ids), "token", "left")
-    # Too large to broadcast: a shuffled join, with every token spread over salts since common
-    # words hold a large share of the rows.
-    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
-    salted = words.withColumn("_salt", F.pmod(F.col("_pos"), F.lit(_SALTS)))
-    spread = ids.withColumn("_salt", F.explode(salts))
-    return salted.join(spread, ["token", "_salt"], "left").drop("_salt")
+def _measure(vocabulary: DataFrame) -> tuple[int, int]:
+    """Words and bytes."""
+    size = F.coalesce(F.sum(F.octet_length("token") + 16), F.lit(0))
+    return tuple(vocabulary.agg(F.count("*"), size).first())
+
+
+def _cut(name: str, length: int) -> Column:
+    """The first ``length`` words of a text that is split already; none for a null text."""
+    return F.coalesce(F.slice(name, 1, length), F.array().cast("array<string>"))
+
+
+def _as_literal(vocabulary: DataFrame, size: int) -> Column:
+    """The vocabulary as an array of ``size`` small maps; a word is in the map of its hash."""
+    place = F.pmod(F.xxhash64("token"), F.lit(size)).alias("place")
+    maps: list[dict[str, int]] = [{} for _ in range(size)]
+    for row in vocabulary.select("token", "token_id", place).collect():
+        maps[row["place"]][row["token"]] = row["token_id"]
+    # Written as one text that Spark parses once, when it folds constants.
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
+
+
+def _ids_by_literal(
+    split: DataFrame, lengths: dict[str, int], vocabulary: DataFrame, words: int
+) -> DataFrame:
+    size = max(1, words // _WORDS_PER_MAP)
+    maps = _as_literal(vocabulary, size)
+
+    def token_id(token: Column) -> Column:
+        own_map = F.get(maps, F.pmod(F.xxhash64(token), F.lit(size)).cast("int"))
+        return F.coalesce(F.try_element_at(own_map, token), F.lit(fv.UNKNOWN_ID))
+
+    return split.withColumns(
+        {name: F.transform(_cut(name, length), token_id) for name, length in lengths.items()}
+    )
 
 
 def _placed(name: str, field: int, length: int) -> Column:
-    """The first ``length`` words of a text with their places, marked with their field."""
-    cut = F.coalesce(F.slice(name, 1, length), F.array().cast("array<string>"))
+    """The words kept of a text with their places, marked with their field."""
     return F.transform(
-        cut, lambda token, i: F.struct(F.lit(field).alias("_field"), i.alias("_pos"), token.alias("token"))
+        _cut(name, length),
+        lambda token, i: F.struct(F.lit(field).alias("_field"), i.alias("_pos"), token.alias("token")),
     )
 
 
@@ -60,6 +90,28 @@ def _ids_of(field: int) -> Column:
     return F.transform(own, lambda word: word["id"])
 
 
+def _ids_by_join(
+    split: DataFrame, lengths: dict[str, int], vocabulary: DataFrame, group: list[str]
+) -> DataFrame:
+    """Words spread into rows, joined to the vocabulary and brought back together.
+
+    Common words hold a large share of the rows, so every word is spread over salts.
+    """
+    placed = [_placed(name, field, length) for field, (name, length) in enumerate(lengths.items())]
+    # inline_outer keeps a row for texts without words.
+    words = split.select(*group, F.inline_outer(F.concat(*placed)))
+    salted = words.withColumn("_salt", F.pmod(F.col("_pos"), F.lit(_SALTS)))
+    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
+    spread = vocabulary.select("token", "token_id").withColumn("_salt", F.explode(salts))
+    numbered = salted.join(spread, ["token", "_salt"], "left")
+    token_id = F.coalesce(F.col("token_id"), F.lit(fv.UNKNOWN_ID)).cast("int")
+    # A group is one row of ``split``: its size is bounded by the lengths.
+    one = F.when(F.col("_pos").isNotNull(), F.struct("_field", "_pos", token_id.alias("id")))
+    grouped = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(one)).alias("_ids"))
+    ids = {name: _ids_of(field) for field, name in enumerate(lengths)}
+    return grouped.withColumns(ids).drop("_ids")
+
+
 def encode(
     df: DataFrame,
     key: str,
@@ -67,60 +119,56 @@ def encode(
     vocabulary: DataFrame,
     padding: str = "max_length",
     batch: str | None = None,
-    broadcast_bytes: int = _BROADCAST_BYTES,
+    literal_bytes: int = _LITERAL_BYTES,
 ) -> DataFrame:
     """One row per ``key``: for each text column ``t`` of ``lengths`` its ``t_ids``, ``t_mask``,
     ``t_tokens`` (words in the whole text) and ``t_cut`` (whether it was longer than its length).
 
     Ids are cut to the given length and padded on the right: to that length, or with
-    ``padding='longest'`` to the longest text of the row's ``batch``. Texts are cut to length
-    before their words are spread into rows.
+    ``padding='longest'`` to the longest text of the row's ``batch``.
     """
     if padding not in ("max_length", "longest"):
         raise ValueError("padding must be 'max_length' or 'longest'")
     if (padding == "longest") != (batch is not None):
         raise ValueError("padding='longest' goes with a batch column")
-    names = list(lengths)
     carried = [key] + ([batch] if batch else [])
+    group = [*carried, *[f"{name}_tokens" for name in lengths]]
 
-    split = df.select(*carried, *[tokens(F.col(name)).alias(name) for name in names])
-    counts = [F.coalesce(F.size(name), F.lit(0)).cast("bigint").alias(f"{name}_tokens") for name in names]
-    kept = [_placed(name, field, lengths[name]) for field, name in enumerate(names)]
-    group = [*carried, *[f"{name}_tokens" for name in names]]
-    # inline_outer keeps a row for texts without words.
-    words = split.select(*carried, *counts, F.concat(*kept).alias("_words")).select(
-        *group, F.inline_outer("_words")
+    ids = materialise(vocabulary.select("token", "token_id"), "vocabulary")
+    split = df.select(*carried, *[tokens(F.col(name)).alias(name) for name in lengths])
+    split = split.withColumns(
+        {
+            f"{name}_tokens": F.coalesce(F.size(name), F.lit(0)).cast("bigint")
+            for name in lengths
+        }
     )
-    numbered = _with_ids(words, vocabulary, broadcast_bytes)
-    token_id = F.coalesce(F.col("token_id"), F.lit(fv.UNKNOWN_ID)).cast("int")
-    # Combined per task first: a key's words start out in one task, and number at most the lengths.
-    one = F.when(F.col("_pos").isNotNull(), F.struct("_field", "_pos", token_id.alias("id")))
-    regrouped = numbered.groupBy(*group).agg(F.array_sort(F.collect_list(one)).alias("_ids"))
-    for field, name in enumerate(names):
-        regrouped = regrouped.withColumn(f"{name}_ids", _ids_of(field))
-    regrouped = regrouped.drop("_ids")
+    words, size = _measure(ids)
+    if size <= literal_bytes:
+        numbered = _ids_by_literal(split, lengths, ids, words)
+    else:
+        numbered = _ids_by_join(split, lengths, ids, group)
 
     if padding == "longest":
-        longest = regrouped.groupBy(batch).agg(
-            *[F.max(F.size(f"{name}_ids")).alias(f"_{name}_longest") for name in names]
+        longest = numbered.groupBy(batch).agg(
+            *[F.max(F.size(name)).alias(f"_{name}_longest") for name in lengths]
         )
-        regrouped = attach(regrouped, longest, batch)
-        widths = {name: F.col(f"_{name}_longest") for name in names}
+        numbered = attach(numbered, longest, batch)
+        widths = {name: F.col(f"_{name}_longest") for name in lengths}
     else:
         widths = {name: F.lit(length) for name, length in lengths.items()}
     out = list(carried)
-    for name in names:
-        ids = F.col(f"{name}_ids")
-        missing = widths[name] - F.size(ids)
+    for name, length in lengths.items():
+        filled = F.size(name)
+        missing = widths[name] - filled
         out += [
-            F.concat(ids, F.array_repeat(F.lit(fv.PAD_ID), missing)).alias(f"{name}_ids"),
+            F.concat(name, F.array_repeat(F.lit(fv.PAD_ID), missing)).alias(f"{name}_ids"),
             F.concat(
-                F.array_repeat(F.lit(1), F.size(ids)), F.array_repeat(F.lit(0), missing)
+                F.array_repeat(F.lit(1), filled), F.array_repeat(F.lit(0), missing)
             ).alias(f"{name}_mask"),
             F.col(f"{name}_tokens"),
-            (F.col(f"{name}_tokens") > lengths[name]).alias(f"{name}_cut"),
+            (F.col(f"{name}_tokens") > length).alias(f"{name}_cut"),
         ]
-    return regrouped.select(*out)
+    return numbered.select(*out)
 
 
 def truncation_report(df: DataFrame, by: list[str], text: str, length: int) -> DataFrame:

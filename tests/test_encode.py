@@ -44,9 +44,9 @@ def expected(vocabulary, text, length, width):
     return row + pad, [1] * len(row) + pad, len(words(text)), len(words(text)) > length
 
 
-@pytest.mark.parametrize("broadcast_bytes", [10**9, 0])
-def test_fixed_length(texts, vocabulary, broadcast_bytes):
-    got = enc.encode(texts, "key", {"text": 4, "label": 2}, vocabulary, broadcast_bytes=broadcast_bytes)
+@pytest.mark.parametrize("literal_bytes", [10**9, 0])
+def test_fixed_length(texts, vocabulary, literal_bytes):
+    got = enc.encode(texts, "key", {"text": 4, "label": 2}, vocabulary, literal_bytes=literal_bytes)
     rows = {r["key"]: r for r in got.collect()}
     assert len(rows) == len(TEXTS)
     for key, _, text, label in TEXTS:
