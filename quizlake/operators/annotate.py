@@ -27,6 +27,9 @@ from quizlake.sources.result_table import ResultTable
 Responder = Callable[[list[str]], list[str]]
 
 _MOST_PER_ROUND = 2**31 - 1
+# Rows are spread over tasks for the responder's sake: a lost task asks its prompts again.
+_PROMPTS_PER_TASK = 10_000
+_MOST_TASKS = 20_000
 
 # The few lines that run in Python workers travel with the job: workers need no copy of the package.
 cloudpickle.register_pickle_by_value(quizlake)
@@ -144,6 +147,8 @@ def annotate_until(
             wanted = max(target, 2 * asked)
         wanted = min(wanted, _MOST_PER_ROUND)
         batch = sample_uniform(pending(items, stored, key), wanted, key, seed)
+        tasks = max(items.sparkSession.sparkContext.defaultParallelism, wanted // _PROMPTS_PER_TASK)
+        options = {"partitions": min(tasks, _MOST_TASKS), **options}
         replies = annotate(batch, make_responder, carried, prompt, **options)
         found = replies.withColumnRenamed("response", "LLMs_rationale").withColumn(
             "LLMs_answer", extractor(F.col("LLMs_rationale"))

@@ -17,7 +17,7 @@ from quizlake.operators.joins import attach
 from quizlake.session import materialise
 
 # Largest vocabulary to send along with the tasks.
-_LITERAL_BYTES = 16 * 1024 * 1024
+_LITERAL_BYTES = 4 * 1024 * 1024
 _WORDS_PER_MAP = 8
 _SALTS = 32
 
@@ -149,8 +149,12 @@ def encode(
         numbered = _ids_by_join(split, lengths, ids, group)
 
     if padding == "longest":
-        longest = numbered.groupBy(batch).agg(
-            *[F.max(F.size(name)).alias(f"_{name}_longest") for name in lengths]
+        # From the word counts alone, so that nothing is encoded for it.
+        longest = split.groupBy(batch).agg(
+            *[
+                F.max(F.least(F.col(f"{name}_tokens"), F.lit(length))).cast("int").alias(f"_{name}_longest")
+                for name, length in lengths.items()
+            ]
         )
         numbered = attach(numbered, longest, batch)
         widths = {name: F.col(f"_{name}_longest") for name in lengths}

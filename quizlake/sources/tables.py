@@ -15,12 +15,9 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
 def write_items(df: DataFrame, path: str) -> None:
     """Items laid out by dataset, subset and split.
 
-    Rows of one split are spread over several files by key, so a split that holds most of the rows
-    is not written by one task.
+    Every task writes its own rows, so a split that holds most of them is written by many tasks.
     """
-    files = F.pmod(F.xxhash64("item_id"), F.lit(32))
-    spread = df.repartition("dataset", "subset", "split", files)
-    spread.write.partitionBy("dataset", "subset", "split").parquet(path)
+    df.write.partitionBy("dataset", "subset", "split").parquet(path)
 
 
 def read_split(
