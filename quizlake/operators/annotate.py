@@ -121,14 +121,14 @@ def annotate_until(
     prompt: str = "prompt",
     seed: int = fv.SAMPLE_SEED,
     max_rounds: int = 20,
-    margin: float = 0.1,
+    spare: float = 2.0,
     **options,
 ) -> DataFrame:
     """Ask until ``target`` valid answers are stored; the first ``target`` of them, in seeded order.
 
     Each round takes the lowest pending items by seeded hash, as many as the yield so far calls
-    for and ``margin`` more, and appends their replies to ``table``. The margin spares rounds that
-    would ask for a handful of rows; the first round, which knows no yield yet, has none. A crash loses one round at most, and a rerun goes
+    for and ``spare`` standard deviations more, which mostly spares a last round for a handful of
+    rows, and appends their replies to ``table``. A crash loses one round at most, and a rerun goes
     on from what is stored. Rounds stop when the target is met or nothing is pending; all stored
     replies stay in the table.
     """
@@ -140,16 +140,17 @@ def annotate_until(
         asked, valid = stored.agg(F.count("*"), F.count_if(is_valid(answer))).first()
         if valid >= target:
             break
-        # Nothing valid yet says nothing about the yield: ask twice as many as so far.
+        # Without a valid answer the yield is unknown: ask twice as many as so far.
         if valid:
-            wanted = math.ceil((target - valid) * asked / valid * (1 + margin))
+            missing, share = target - valid, valid / asked
+            wanted = math.ceil((missing + spare * math.sqrt(missing * (1 - share))) / share)
         else:
             wanted = max(target, 2 * asked)
         wanted = min(wanted, _MOST_PER_ROUND)
         batch = sample_uniform(pending(items, stored, key), wanted, key, seed)
         tasks = max(items.sparkSession.sparkContext.defaultParallelism, wanted // _PROMPTS_PER_TASK)
-        options = {"partitions": min(tasks, _MOST_TASKS), **options}
-        replies = annotate(batch, make_responder, carried, prompt, **options)
+        spread = {"partitions": min(tasks, _MOST_TASKS), **options}
+        replies = annotate(batch, make_responder, carried, prompt, **spread)
         found = replies.withColumnRenamed("response", "LLMs_rationale").withColumn(
             "LLMs_answer", extractor(F.col("LLMs_rationale"))
         )
