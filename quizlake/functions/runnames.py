@@ -37,6 +37,31 @@ def seq2seq_run_name(
     )
 
 
+def causal_run_name(
+    model: Column,
+    dataset: Column,
+    attention: Column,
+    teacher: Column,
+    n_train: Column,
+    r: Column,
+    alpha: Column,
+) -> Column:
+    """Name of a run on a causal model; null ``r`` or ``alpha`` leave their part out."""
+    thousands = F.regexp_replace((n_train / 1000).cast("decimal(18,3)").cast("string"), r"\.?0+$", "")
+    return F.concat(
+        model,
+        F.lit("-finetuned-"),
+        dataset,
+        F.when(attention, "-AM").otherwise(""),
+        F.when(teacher, "-teacher").otherwise(""),
+        F.lit("-"),
+        thousands,
+        F.lit("k"),
+        F.coalesce(F.concat(F.lit("-r-"), r.cast("string")), F.lit("")),
+        F.coalesce(F.concat(F.lit("-alpha-"), alpha.cast("string")), F.lit("")),
+    )
+
+
 def run_fields(name: Column) -> Column:
     """Struct of (kd, method, base_model, dataset, n_train, layers, r, alpha) for either form.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.functions import extract
+from quizlake.functions import extract, runnames
 from quizlake.operators import items as prep
 from quizlake.operators import leaderboard as board
 from quizlake.operators import scoring
@@ -218,6 +218,28 @@ def run_name_fields(spark: SparkSession, folder: str) -> DataFrame:
     return board.with_run_fields(names).withColumn("kd", F.col("kd").cast("string"))
 
 
+@register(
+    "run_names_rebuilt",
+    ov.query(
+        "SELECT string_split(run, '/')[-1] AS name, count(*) AS n FROM grid_responses GROUP BY 1",
+        "grid_responses",
+    ),
+)
+def run_names_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Run names built again from the parameters read out of them."""
+    names = fx.grid_responses(spark, folder).groupBy("run").agg(F.count("*").alias("n"))
+    fields = board.with_run_fields(names)
+    kd, method, model, dataset, n_train = (
+        F.col(name) for name in ("kd", "method", "base_model", "dataset", "n_train")
+    )
+    small = runnames.seq2seq_run_name(kd, method, model, dataset, n_train)
+    causal = runnames.causal_run_name(
+        model, dataset, F.col("layers") == "attention", kd, n_train, F.col("r"), F.col("alpha")
+    )
+    name = F.when(F.col("layers").isNull(), small).otherwise(causal)
+    return fields.select(name.alias("name"), "n")
+
+
 @register(
     "leaderboard_rollup",
     ov.query(

@@ -1,10 +1,14 @@
 """The text rules on strings chosen to trip them."""
 
 import re
+import unicodedata
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quizlake import fixed_values as fv
 from quizlake.functions import extract
 
 # text, then what clean_letter, last_letter, last_letter_after(1), last_number_text,
@@ -93,3 +97,57 @@ def test_whole_texts_are_read(spark, folder):
         hits = number.findall(re.sub(r"(\d),(\d)", r"\1\2", row["text"]))
         assert row["number"] == (hits[-1].replace(",", "") if hits else None)
     assert any(row["number"] for row in rows)
+
+
+# The plain patterns in Python's spelling, as a check on the faster forms.
+def _python(pattern):
+    spelled = pattern.replace(fv.SPACE, r"\s").replace(r"\p{Nd}", r"\d")
+    return re.compile(spelled, re.IGNORECASE)
+
+
+def _letters(text):
+    return [hit.upper() for hit in _python(fv.LAST_LETTER).findall(text)]
+
+
+def _clean(text):
+    kept = "".join(c for c in text.lower() if c.isspace() or c in "_:()" or unicodedata.category(c)[0] in "LN")
+    for pattern in (fv.CLEAN_COLON_LETTER, fv.CLEAN_IS_LETTER):
+        hit = _python(pattern).search(kept)
+        if hit:
+            return hit[1].upper()
+    return None
+
+
+def _after(text):
+    _, phrase, tail = text.partition("answer is")
+    hit = re.search("[A-E]", tail, re.IGNORECASE) if phrase else None
+    return hit and hit[0].upper()
+
+
+def _number(text):
+    hits = re.findall(fv.NUMBER.replace(r"\p{Nd}", r"\d"), re.sub(r"(\d),(\d)", r"\1\2", text))
+    return hits[-1].replace(",", "") if hits else None
+
+
+PIECES = st.sampled_from(
+    ["answer", "Answer", "ans", "wer", "is", "correct option is", "correct", " ", " ", "\n", "\xa0", ":", "a"]
+    + ["B", "c", "f", "*", "**", "(", ")", "'", "ſ", "é", "1", "20", ",", ".", "e", "E", "+", "-", "٣", "😀", "x"]
+)
+TEXTS = st.lists(st.lists(PIECES, max_size=14).map("".join), min_size=100, max_size=300)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(batch=TEXTS)
+def test_rules_equal_the_plain_patterns(spark, batch):
+    df = spark.createDataFrame([(text,) for text in batch], "t string")
+    text = F.col("t")
+    rows = df.select(
+        "t",
+        F.transform(extract.letter_matches(text), F.upper).alias("letters"),
+        extract.clean_letter(text).alias("clean"),
+        extract.letter_after_phrase(text).alias("after"),
+        extract.last_number_text(text).alias("number"),
+    ).collect()
+    for row in rows:
+        wanted = (_letters(row["t"]), _clean(row["t"]), _after(row["t"]), _number(row["t"]))
+        assert (row["letters"], row["clean"], row["after"], row["number"]) == wanted, repr(row["t"])

@@ -46,6 +46,17 @@ def test_name_is_built_and_read_back(spark):
     )
 
 
+@pytest.mark.parametrize(
+    "n_train, text", [(500, "0.5k"), (1000, "1k"), (2000, "2k"), (10000, "10k"), (1250, "1.25k"), (100, "0.1k")]
+)
+def test_thousands(spark, n_train, text):
+    df = spark.createDataFrame([(n_train,)], "n long")
+    no = F.lit(False)
+    nothing = F.lit(None).cast("long")
+    name = runnames.causal_run_name(F.lit("m"), F.lit("d"), no, no, F.col("n"), nothing, nothing)
+    assert df.select(name).first()[0] == f"m-finetuned-d-{text}"
+
+
 @pytest.mark.parametrize("path, stem", [("a/b/run_test.csv", "run_test"), ("x-1.5k.csv", "x-1.5k"), ("a/b/", "b")])
 def test_file_stem(spark, path, stem):
     df = spark.createDataFrame([(path,)], "p string")
