@@ -39,6 +39,7 @@ _AFTER_PHRASE = rf"{fv.AFTER_PHRASE}[^A-Ea-e]*+([A-Ea-e])"
 
 # No number reaches beyond a run of these characters, so the last run with a digit holds the last
 # number. The run is looked for from the end of the text.
+_DIGIT = r"\p{Nd}"
 _IN_NUMBER = r"[-+.,eE\p{Nd}]"
 _LAST_RUN = rf"(?s)^(?:.*[^-+.,eE\p{{Nd}}])?({_IN_NUMBER}*\p{{Nd}}{_IN_NUMBER}*)"
 
@@ -96,7 +97,9 @@ def last_number_text(text: Column) -> Column:
     """The last number as written, without its thousands commas."""
     joined = F.regexp_replace(_group(text, _LAST_RUN), fv.DIGIT_COMMA_DIGIT, "$1$2")
     numbers = F.regexp_extract_all(joined, F.lit(fv.NUMBER), 0)
-    return F.replace(F.try_element_at(numbers, F.lit(-1)), F.lit(","), F.lit(""))
+    number = F.replace(F.try_element_at(numbers, F.lit(-1)), F.lit(","), F.lit(""))
+    # Looking for a digit is the fastest way to pass over texts without one.
+    return F.when(text.rlike(_DIGIT), number)
 
 
 def last_number(text: Column) -> Column:
