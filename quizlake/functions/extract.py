@@ -69,8 +69,8 @@ def last_letter_after(text: Column, shots: Column | int) -> Column:
     The letters of the examples do not count: with no letter beyond them there is no answer.
     """
     shots = F.lit(shots) if isinstance(shots, int) else shots
-    matches = letter_matches(text)
-    return F.when(F.size(matches) > shots, F.upper(F.try_element_at(matches, F.lit(-1))))
+    beyond = F.slice(letter_matches(text), shots.cast("int") + 1, F.lit(2**31 - 1))
+    return F.upper(F.try_element_at(beyond, F.lit(-1)))
 
 
 def clean_letter(text: Column) -> Column:

@@ -135,11 +135,13 @@ def annotate_until(
     answer = F.col("LLMs_answer")
     fields = [name for name in table.schema.names if name in items.columns]
     carried = [name for name in fields if name not in ("LLMs_rationale", "LLMs_answer", "status")]
+    before = None
     for _ in range(max_rounds):
         stored = table.read().where(F.col("status") != "pending")
         asked, valid = stored.agg(F.count("*"), F.count_if(is_valid(answer))).first()
-        if valid >= target:
+        if valid >= target or asked == before:
             break
+        before = asked
         # Without a valid answer the yield is unknown: ask twice as many as so far.
         if valid:
             missing, share = target - valid, valid / asked
@@ -157,7 +159,5 @@ def annotate_until(
         # An item whose responder kept failing counts as unparsed, or it would be asked for ever.
         text = F.coalesce("LLMs_rationale", F.lit(""))
         table.append(found.withColumn("status", answer_status(text, answer)))
-        if table.read().where(F.col("status") != "pending").count() == asked:
-            break
     done = table.read().where(is_valid(answer))
     return sample_uniform(done, target, key, seed)

@@ -9,6 +9,13 @@ _SALTS = 64
 _MOST_HOT_KEYS = 1000
 
 
+def fits(df: DataFrame, limit: int) -> bool:
+    """Whether ``df`` holds at most ``limit`` bytes; one aggregation over it."""
+    widths = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns]
+    size = df.agg(F.sum(sum(widths[1:], widths[0])).alias("bytes")).first()["bytes"]
+    return (size or 0) <= limit
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,

@@ -1,7 +1,8 @@
 """Exact-match scores.
 
-Scores over (response, item) pairs combine the responses to counts per (run, item, answer) before
-anything is joined, so an item or a run holding a large share of the rows shrinks on the map side.
+Replies meet the references of their items in one of two ways. References of checked, small size are
+broadcast and the replies stay where they are. Otherwise equal replies are combined on the map side
+before the join, so that an item or a run holding a large share of the rows shrinks to a few.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from quizlake.functions import compare
 from quizlake.functions.extract import last_letter, last_letter_after, last_number_text
-from quizlake.operators.joins import attach
+from quizlake.operators.joins import attach, fits
 
 _PLACES = 6
+_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def mean_score(hits: Column) -> Column:
@@ -38,27 +40,49 @@ def grade_letters(
     return responses.withColumn(into, letter)
 
 
+def tally(df: DataFrame, columns: list[str], weight: str = "_n") -> DataFrame:
+    """Equal rows combined to one, with their number; done before a join, it disarms hot keys."""
+    return df.groupBy(*columns).agg(F.count("*").alias(weight))
+
+
+def with_reference(
+    answers: DataFrame,
+    items: DataFrame,
+    columns: list[str],
+    key: str = "item_id",
+    weight: str = "_n",
+    broadcast_bytes: int = _BROADCAST_BYTES,
+) -> DataFrame:
+    """Answers with ``columns`` of their items and, in ``weight``, how many rows each row stands for.
+
+    Answers without an item are kept. Only for use in aggregates: equal answers may be combined.
+    """
+    reference = items.select(key, *columns)
+    if fits(reference, broadcast_bytes):
+        one = answers.withColumn(weight, F.lit(1).cast("bigint"))
+        return one.join(F.broadcast(reference), key, "left")
+    return tally(answers, answers.columns, weight).join(reference, key, "left")
+
+
 def run_counts(
     responses: DataFrame,
     items: DataFrame,
     by: list[str],
     shots: str | int | None = None,
     key: str = "item_id",
+    broadcast_bytes: int = _BROADCAST_BYTES,
 ) -> DataFrame:
     """Rows per run: ``n``, ``answered``, ``blank``, ``no_reference`` and ``hits``."""
     graded = grade_letters(responses, shots).select(
         *by, key, "pred", F.col("response").isNull().alias("_blank")
     )
-    tallies = graded.groupBy(*by, key, "pred").agg(
-        F.count("*").alias("_n"), F.count_if("_blank").alias("_blanks")
-    )
-    joined = tallies.join(items.select(key, "correct"), key, "left")
+    joined = with_reference(graded, items, ["correct"], key, "_n", broadcast_bytes)
     known = F.col("correct").isNotNull()
     hit = known & F.col("pred").eqNullSafe(F.col("correct"))
     return joined.groupBy(*by).agg(
         _rows("_n").alias("n"),
         _rows("_n", F.col("pred").isNotNull()).alias("answered"),
-        _rows("_blanks").alias("blank"),
+        _rows("_n", F.col("_blank")).alias("blank"),
         _rows("_n", ~known).alias("no_reference"),
         _rows("_n", hit).alias("hits"),
     )
@@ -70,13 +94,14 @@ def score_runs(
     by: list[str],
     shots: str | int | None = None,
     key: str = "item_id",
+    broadcast_bytes: int = _BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per run: rows, answered, blank, without item, and the exact-match mean.
 
     An unreadable or blank reply scores 0 and stays in the mean. Rows whose item has no reference
     letter leave the mean and are counted in ``no_reference``.
     """
-    counts = run_counts(responses, items, by, shots, key)
+    counts = run_counts(responses, items, by, shots, key, broadcast_bytes)
     em = _share(F.col("hits"), F.col("n") - F.col("no_reference"))
     return counts.withColumn("em", em).drop("hits")
 
@@ -109,11 +134,6 @@ def _share(hits: Column, rows: Column) -> Column:
     return F.round(hits / F.nullif(rows, F.lit(0).cast("bigint")).cast("double"), _PLACES)
 
 
-def tally(df: DataFrame, columns: list[str], weight: str = "_n") -> DataFrame:
-    """Equal rows combined to one, with their number; done before a join, it disarms hot keys."""
-    return df.groupBy(*columns).agg(F.count("*").alias(weight))
-
-
 def score_sheet(
     df: DataFrame,
     by: list[str],

@@ -164,10 +164,9 @@ def letter_in_conversations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _graded(replies: DataFrame, items: DataFrame, rule) -> DataFrame:
-    """(run, pred, correct, _n): replies combined per item and answer, then joined to the items."""
+    """(run, pred, correct, _n): answers beside their references."""
     answers = replies.select("run", "item_id", rule(F.col("response")).alias("pred"))
-    tallies = scoring.tally(answers, ["run", "item_id", "pred"])
-    return tallies.join(items.select("item_id", "correct"), "item_id", "left")
+    return scoring.with_reference(answers, items, ["correct"])
 
 
 _SHEET = """
@@ -343,14 +342,13 @@ _PREDICTED = """
 
 
 def _predicted(spark: SparkSession, folder: str) -> DataFrame:
-    """Predicted option text beside the right one, both combined per item before the join."""
-    tallies = scoring.tally(
-        fx.predictions(spark, folder), ["run", "item_id", "choice", "silent"]
+    """Predicted option text beside the right one."""
+    rows = scoring.with_reference(
+        fx.predictions(spark, folder), fx.mcq(spark, folder), ["options", "correct"]
     )
-    items = fx.mcq(spark, folder).select("item_id", "options", "correct")
     options = F.col("options")
     pred = F.when(F.col("silent"), "").otherwise(F.get(options, F.col("choice").cast("int")))
-    return tallies.join(items, "item_id", "left").select(
+    return rows.select(
         "run",
         pred.alias("pred"),
         option_of_letter(options, F.col("correct")).alias("answer"),

@@ -76,15 +76,31 @@ def test_only_prefix_counts_are_broadcast(large, folder):
     assert broadcasts and all("_prefix" in b and "_before" in b for b in broadcasts)
 
 
-def test_scores_are_combined_before_the_join(large, folder):
-    df = scoring.score_runs(fixtures.responses(large, folder), fixtures.mcq(large, folder), ["run"])
-    plan = physical(df)
+def test_large_references_meet_combined_replies(large, folder):
+    replies, items = fixtures.responses(large, folder), fixtures.mcq(large, folder)
+    plan = physical(scoring.score_runs(replies, items, ["run"], broadcast_bytes=0))
     join = plan.index("SortMergeJoin")
     assert "partial_count" in plan[join:]
     # One shuffle to combine, one for each side of the join, one for the runs.
     assert plan.count("Exchange hashpartitioning") == 4
 
 
+def test_small_references_leave_replies_in_place(large, folder):
+    replies, items = fixtures.responses(large, folder), fixtures.mcq(large, folder)
+    plan = physical(scoring.score_runs(replies, items, ["run"]))
+    assert plan.count("BroadcastExchange") == 1
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_both_ways_give_the_same_scores(spark, folder):
+    replies, items = fixtures.few_shot_responses(spark, folder), fixtures.mcq(spark, folder)
+    scores = [
+        scoring.score_runs(replies, items, ["run", "shots"], "shots", broadcast_bytes=limit)
+        for limit in (0, 10**9)
+    ]
+    assert sorted(scores[0].collect()) == sorted(scores[1].collect())
+
+
 def test_hot_key_is_split_over_tasks(large, folder):
     """A third of the rows on one key, joined by shuffle: no task gets them all."""
     rows = large.range(30_000).withColumn(
