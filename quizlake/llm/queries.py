@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bpe
+from quizlake.llm import bpe, packing
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -29,3 +29,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("id_text", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_register("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids dealt to windows of 2048."""
+    return packing.pack(table(spark, folder, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
