@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bpe, packing
+from quizlake.llm import bpe, langid, packing
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -37,3 +37,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@_register("op3_language_id")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; two thirds of the labelled documents may be learned from."""
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = langid.fit(docs, usable=~held_out)
+    held = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", held, "text"), model)
