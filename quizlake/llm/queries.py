@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bpe, langid, packing
+from quizlake.llm import bpe, langid, ngram_join, packing
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -47,3 +47,9 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     model = langid.fit(docs, usable=~held_out)
     held = F.coalesce(held_out, F.lit(False)).alias("held_out")
     return langid.identify(docs.select("doc_id", held, "text"), model)
+
+
+@_register("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose word five-gram sets are similar by 0.75 or more."""
+    return ngram_join.jaccard_components(table(spark, folder, "documents"), words=5, percent=75)
