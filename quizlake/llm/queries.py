@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bpe, langid, ngram_join, packing
+from quizlake.llm import bpe, langid, ngram_join, packing, toxicity
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -53,3 +53,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose word five-gram sets are similar by 0.75 or more."""
     return ngram_join.jaccard_components(table(spark, folder, "documents"), words=5, percent=75)
+
+
+@_register("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Severity grade of every document."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.grade(docs.select("doc_id", "text"), model)
