@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bpe, langid, ngram_join, packing, toxicity
+from quizlake.llm import bpe, langid, ngram_join, packing, substring_dedup, toxicity
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -61,3 +61,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     return toxicity.grade(docs.select("doc_id", "text"), model)
+
+
+@_register("op8_substring_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document holds too, word by word or nearly so."""
+    found = substring_dedup.repeated_passages(table(spark, folder, "documents"))
+    return found.withColumnsRenamed({"doc": "doc_id", "src": "source_doc_id"})
