@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bpe, langid, ngram_join, packing, substring_dedup, toxicity
+from quizlake.llm import ball_tree, bpe, hnsw, langid, ngram_join, packing, substring_dedup, toxicity
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -68,3 +68,32 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of 50 words or more that an earlier document holds too, word by word or nearly so."""
     found = substring_dedup.repeated_passages(table(spark, folder, "documents"))
     return found.withColumnsRenamed({"doc": "doc_id", "src": "source_doc_id"})
+
+
+_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@_register(
+    "op6_ball_tree_top_k",
+    f"""
+    WITH v AS (
+        SELECT vec_id, len(embedding) AS dim, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+        FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+    )
+    SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20
+    """,
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best of all integer vectors for every twentieth vector."""
+    return ball_tree.top_k(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
+@_register("op9_hnsw")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found among all vectors for every twentieth vector."""
+    return hnsw.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
