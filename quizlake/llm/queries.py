@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import ball_tree, bpe, hnsw, langid, ngram_join, packing, substring_dedup, toxicity
+from quizlake.llm import ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, substring_dedup, toxicity, warc
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -97,3 +97,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest found among all vectors for every twentieth vector."""
     return hnsw.nearest(table(spark, folder, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@_register("op5_license_scan", licenses.oracle())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Known licence sentences and licences of every document, joined by commas."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")])
+
+
+@_register("op4_warc_derivatives", warc.ORACLE)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    made = warc.derivatives(warc.responses_of_pages(table(spark, folder, "pages")), keep=["page_id"])
+    return made.drop("headers")
