@@ -24,7 +24,8 @@ SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2 0": "apache-2.0-short",
     "licensed under the apache license version 2 0 the license": "apache-2.0-grant",
     "you may not use this file except in compliance with the license": "apache-2.0-comply",
-    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2.0-url",
+    "you may obtain a copy of the license at": "apache-2.0-copy",
+    "http www apache org licenses license 2 0": "apache-2.0-url",
     "released under the mit license": "mit-short",
     "licensed under the mit license": "mit-short",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit-grant",
@@ -48,7 +49,7 @@ SENTENCES: dict[str, str] = {
 }
 # Rules, longest first where one contains another; identifiers must follow in this order.
 RULES: list[tuple[str, list[str]]] = [
-    ("Apache-2.0", ["apache-2.0-grant", "apache-2.0-comply", "apache-2.0-url"]),
+    ("Apache-2.0", ["apache-2.0-grant", "apache-2.0-comply", "apache-2.0-copy", "apache-2.0-url"]),
     ("Apache-2.0", ["apache-2.0-grant"]),
     ("Apache-2.0", ["apache-2.0-short"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
@@ -69,13 +70,15 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: A sentence ends at a line end, or at a stop, semicolon or exclamation mark before a blank or the end.
 SENTENCE_END = r"[.;!?]+(?:\s+|$)|\n+"
+#: A line that breaks off within a sentence and the small letter that goes on with it.
+WRAPPED = r"([a-z,])\n[ \t]*([a-z])"
 #: Words of which every known sentence holds one: a sentence without them is not normalised at all.
 TRIGGERS = ("licen", "permission", "copyright", "warranty", "redistribution", "unencumbered")
 
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text: small letters and digits, everything else a single blank."""
-    raw = F.split(F.lower(text), SENTENCE_END)
+    raw = F.split(F.lower(F.regexp_replace(text, WRAPPED, "$1 $2")), SENTENCE_END)
     telling = F.filter(raw, lambda s: _any(s))
     return F.transform(telling, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
 
@@ -125,7 +128,7 @@ def oracle(table: str = "documents") -> str:
     return rf"""
     WITH split AS (
         SELECT row_number() OVER () AS r, doc_id,
-               list_filter(string_split_regex(lower(coalesce(text, '')), '[.;!?]+(?:\s+|$)|\n+'), lambda s: {triggers}) AS raw
+               list_filter(string_split_regex(lower(regexp_replace(coalesce(text, ''), '([a-z,])\n[ \t]*([a-z])', '\1 \2', 'g')), '[.;!?]+(?:\s+|$)|\n+'), lambda s: {triggers}) AS raw
         FROM {table}
     ), placed AS (
         SELECT r, unnest(raw) AS s, generate_subscripts(raw, 1) AS place FROM split
