@@ -17,10 +17,11 @@ _ANY_CASE = "(?iu)"
 # gets through several times as fast.
 
 # LAST_LETTER with its first letters drawn to the front, so that the scan for a start is on one
-# character class.
+# character class, and with possessive blanks, so that a long run of them is passed once.
+_BLANKS = rf"{fv.SPACE}*+"
 _LAST_LETTER = (
-    rf"[ac](?:(?<=a)nswer(?:{fv.SPACE}*:?|{fv.SPACE}+is{fv.SPACE}*:?)"
-    rf"|(?<=c)orrect{fv.SPACE}+option{fv.SPACE}+is{fv.SPACE}*:?){fv.SPACE}*([A-E])"
+    rf"[ac](?:(?<=a)nswer(?:{fv.SPACE}++is)?+|(?<=c)orrect{fv.SPACE}++option{fv.SPACE}++is)"
+    rf"{_BLANKS}(?::{_BLANKS})?+([A-E])"
 )
 
 
@@ -88,9 +89,9 @@ def letter_after_phrase(text: Column) -> Column:
 
 
 def strict_letter(text: Column, default: str | None = fv.UNPARSED) -> Column:
-    """Letter of the one prescribed closing sentence."""
+    """Letter of the one prescribed closing sentence, ``default`` where a text has none; null for null."""
     letter = F.upper(_found(_group(text, _ANY_CASE + fv.STRICT_PHRASE)))
-    return letter if default is None else F.coalesce(letter, F.lit(default))
+    return letter if default is None else F.when(text.isNotNull(), F.coalesce(letter, F.lit(default)))
 
 
 def last_number_text(text: Column) -> Column:

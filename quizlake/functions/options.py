@@ -83,10 +83,12 @@ def option_of_letter(options: Column, letter: Column) -> Column:
 
 
 def shape_problem(options: Column, letter: Column) -> Column:
-    """Why an item cannot be used: ``bad_options``, ``option_count``, ``bad_letter`` or ``ok``."""
+    """Why an item cannot be used: ``bad_options``, ``option_count``, ``null_option``,
+    ``bad_letter`` or ``ok``."""
     return (
         F.when(options.isNull(), "bad_options")
         .when(F.size(options) != fv.OPTION_COUNT, "option_count")
+        .when(F.exists(options, lambda option: option.isNull()), "null_option")
         .when(letter.isNull() | ~letter.isin(fv.LETTERS), "bad_letter")
         .otherwise("ok")
     )

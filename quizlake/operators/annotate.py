@@ -21,15 +21,14 @@ from quizlake import fixed_values as fv
 from quizlake.functions.compare import answer_status, is_valid
 from quizlake.operators.joins import pending
 from quizlake.operators.sampling import sample_uniform
-from quizlake.schema import REPLIES
+from quizlake.schema import REPLIES, REPLY_NAMES
 from quizlake.sources.result_table import ResultTable
 
-Responder = Callable[[list[str]], list[str]]
+# Prompts to replies; with ``annotate_runs`` the prompts' run names come as a second list.
+Responder = Callable[..., list[str]]
 
-_MOST_PER_ROUND = 2**31 - 1
 # Rows are spread over tasks for the responder's sake: a lost task asks its prompts again.
 _PROMPTS_PER_TASK = 10_000
-_MOST_TASKS = 20_000
 
 # The few lines that run in Python workers travel with the job: workers need no copy of the package.
 cloudpickle.register_pickle_by_value(quizlake)
@@ -44,14 +43,18 @@ def template_responder() -> Responder:
             return "I cannot tell"
         return "Step one.\nAnswer: " + fv.LETTERS[int(digest[1], 16) % len(fv.LETTERS)]
 
-    return lambda prompts: [reply(prompt) for prompt in prompts]
+    def respond(prompts: list[str], runs: list[str] | None = None) -> list[str]:
+        # Every run has replies of its own.
+        return [reply(p if run is None else f"{run}\n{p}") for p, run in zip(prompts, runs or [None] * len(prompts))]
 
+    return respond
 
-def _answer_one(respond: Responder, prompt: str, attempts: int) -> tuple[str | None, str | None, int]:
+
+def _answer_one(respond: Responder, asked: tuple[str, ...], attempts: int) -> tuple[str | None, str | None, int]:
     error = None
     for attempt in range(1, attempts + 1):
         try:
-            return respond([prompt])[0], None, attempt
+            return respond(*[[value] for value in asked])[0], None, attempt
         except Exception as problem:  # noqa: BLE001 - whatever it was is recorded with the row
             error = f"{type(problem).__name__}: {problem}"
     return None, error, attempts
@@ -64,31 +67,33 @@ def annotate(
     prompt: str = "prompt",
     retries: int = 2,
     partitions: int | None = None,
+    beside: str | None = None,
 ) -> DataFrame:
     """(keys, response, error, attempts) for every row with a prompt.
 
     ``make_responder`` is called once per task. A batch that fails is answered row by row, each row
     up to ``retries`` more times; a row that keeps failing gets a null response and its error text,
-    and the job goes on. ``partitions`` sets how many tasks call the responder at once. A lost task
-    asks again, so replies should be written before they are used.
+    and the job goes on. ``beside`` names a column whose values the responder gets as a second list.
+    ``partitions`` sets how many tasks call the responder at once, by default the session's
+    parallelism. A lost task asks again, so replies should be written before they are used.
     """
+    given = [prompt] if beside is None else [prompt, beside]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         respond = make_responder()
         for batch in batches:
-            asked = batch[prompt].tolist()
+            asked = [batch[column].tolist() for column in given]
             try:
-                replies = [(text, None, 1) for text in respond(asked)]
-                if len(replies) != len(asked):
+                replies = [(text, None, 1) for text in respond(*asked)]
+                if len(replies) != len(batch):
                     raise ValueError("one reply per prompt expected")
             except Exception:  # noqa: BLE001 - one bad prompt must not cost the whole batch
-                replies = [_answer_one(respond, text, retries + 1) for text in asked]
+                replies = [_answer_one(respond, row, retries + 1) for row in zip(*asked)]
             columns = pd.DataFrame(replies, columns=REPLIES.names, index=batch.index)
             yield pd.concat([batch[keys], columns], axis=1)
 
-    rows = df.select(*keys, prompt).where(F.col(prompt).isNotNull())
-    if partitions:
-        rows = rows.repartition(partitions)
+    rows = df.select(*dict.fromkeys([*keys, *given])).where(F.col(prompt).isNotNull())
+    rows = rows.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
     schema = T.StructType([df.schema[key] for key in keys] + REPLIES.fields)
     return rows.mapInPandas(run, schema)
 
@@ -103,12 +108,12 @@ def annotate_runs(
 ) -> DataFrame:
     """``annotate`` for several runs in one job: each prompt is asked once per run name.
 
-    The responder sees ``<run>`` and a newline before the prompt, so one client can serve all runs.
+    The responder gets the run names as a second list, so one client can serve all runs and every
+    prompt reaches it as it is.
     """
     names = F.explode(F.array(*[F.lit(run) for run in runs]))
     asked = df.select(key, prompt).withColumn("run", names)
-    asked = asked.withColumn(prompt, F.concat("run", F.lit("\n"), prompt))
-    return annotate(asked, make_responder, ["run", key], prompt, **options)
+    return annotate(asked, make_responder, ["run", key], prompt, beside="run", **options)
 
 
 def annotate_until(
@@ -120,7 +125,7 @@ def annotate_until(
     key: str = "item_id",
     prompt: str = "prompt",
     seed: int = fv.SAMPLE_SEED,
-    max_rounds: int = 20,
+    max_rounds: int | None = None,
     spare: float = 2.0,
     **options,
 ) -> DataFrame:
@@ -128,30 +133,35 @@ def annotate_until(
 
     Each round takes the lowest pending items by seeded hash, as many as the yield so far calls
     for and ``spare`` standard deviations more, which mostly spares a last round for a handful of
-    rows, and appends their replies to ``table``. A crash loses one round at most, and a rerun goes
-    on from what is stored. Rounds stop when the target is met or nothing is pending; all stored
-    replies stay in the table.
+    rows, and appends their replies to ``table``, with the error text and the number of attempts of
+    each. A crash loses one round at most, and a rerun goes on from what is stored. Rounds stop when
+    the target is met or no item with a prompt is pending; items without a prompt are never asked.
+    All stored replies stay in the table. ``max_rounds`` rounds without reaching either end are an
+    error; by default there is no such limit. ``target_met`` in the result says whether the target
+    was reached.
     """
+    askable = items.where(F.col(prompt).isNotNull())
     answer = F.col("LLMs_answer")
     fields = [name for name in table.schema.names if name in items.columns]
-    carried = [name for name in fields if name not in ("LLMs_rationale", "LLMs_answer", "status")]
-    before = None
-    for _ in range(max_rounds):
+    carried = [name for name in fields if name not in REPLY_NAMES]
+    before, rounds = None, 0
+    while True:
         stored = table.read().where(F.col("status") != "pending")
         asked, valid = stored.agg(F.count("*"), F.count_if(is_valid(answer))).first()
         if valid >= target or asked == before:
             break
-        before = asked
+        if rounds == max_rounds:
+            raise RuntimeError(f"{valid} of {target} valid answers after {rounds} rounds")
+        before, rounds = asked, rounds + 1
         # Without a valid answer the yield is unknown: ask twice as many as so far.
         if valid:
             missing, share = target - valid, valid / asked
             wanted = math.ceil((missing + spare * math.sqrt(missing * (1 - share))) / share)
         else:
             wanted = max(target, 2 * asked)
-        wanted = min(wanted, _MOST_PER_ROUND)
-        batch = sample_uniform(pending(items, stored, key), wanted, key, seed)
-        tasks = max(items.sparkSession.sparkContext.defaultParallelism, wanted // _PROMPTS_PER_TASK)
-        spread = {"partitions": min(tasks, _MOST_TASKS), **options}
+        batch = sample_uniform(pending(askable, stored, key), wanted, key, seed)
+        tasks = max(items.sparkSession.sparkContext.defaultParallelism, -(-wanted // _PROMPTS_PER_TASK))
+        spread = {"partitions": tasks, **options}
         replies = annotate(batch, make_responder, carried, prompt, **spread)
         found = replies.withColumnRenamed("response", "LLMs_rationale").withColumn(
             "LLMs_answer", extractor(F.col("LLMs_rationale"))
@@ -160,4 +170,4 @@ def annotate_until(
         text = F.coalesce("LLMs_rationale", F.lit(""))
         table.append(found.withColumn("status", answer_status(text, answer)))
     done = table.read().where(is_valid(answer))
-    return sample_uniform(done, target, key, seed)
+    return sample_uniform(done, target, key, seed).withColumn("target_met", F.lit(valid >= target))

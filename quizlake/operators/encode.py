@@ -34,11 +34,25 @@ def build_vocabulary(df: DataFrame, text: str, size: int) -> DataFrame:
     row per task.
     """
     words = df.select(F.explode(F.split(text, fv.TOKEN_SEPARATOR)).alias("token")).where("token <> ''")
-    counted = words.groupBy("token").agg(F.count("*").alias("n"))
-    top = counted.orderBy(F.desc("n"), "token").limit(size)
-    # Numbers only the ``size`` rows kept.
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return top.withColumn("token_id", (rank + (fv.FIRST_TOKEN_ID - 1)).cast("bigint"))
+    counted = materialise(words.groupBy("token").agg(F.count("*").alias("n")), "counts")
+    # The count at which the size is reached, from how many words have each count.
+    per_count = counted.groupBy("n").agg(F.count("*").alias("_words"))
+    above = F.sum("_words").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    reached = per_count.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < size)
+    cut = reached.agg(F.min("n")).first()[0]
+    kept = counted.where(F.col("n") >= (cut or 0))
+    # Words that tie at the cut may be many: ranges of the order are numbered apart and lined up.
+    order = [F.desc("n"), "token"]
+    placed = kept.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "token", "n", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(2**33 - 1).alias("_place")
+    )
+    placed = materialise(placed, "vocabulary")
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranges.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    rank = F.col("_start") + F.col("_place")
+    numbered = placed.join(F.broadcast(starts), "_range").where(rank < size)
+    return numbered.select("token", "n", (rank + fv.FIRST_TOKEN_ID).cast("bigint").alias("token_id"))
 
 
 def _measure(vocabulary: DataFrame) -> tuple[int, int]:

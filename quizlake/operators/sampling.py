@@ -6,7 +6,8 @@ totals turn the counts into offsets, and rows are numbered inside their own pref
 sorted in one task, and rows beyond the wanted rank are dropped before any shuffle. ``key`` must
 identify a row.
 
-A prefix is the leading zeros of the hash and three digits more. Low hashes are thus told apart
+A prefix is the leading zeros of the hash and three digits more, or more than three where a full
+ranking of many rows asks for finer groups. Low hashes are thus told apart
 more finely than high ones, and the prefix that a cut runs through is small next to the sample,
 for ten rows out of a hundred billion as for half of them.
 """
@@ -22,19 +23,30 @@ from quizlake.functions.hashing import seeded_hash
 
 _HASH_DIGITS = 32
 _PREFIX_DIGITS = 3
+# Rows that a full ranking sorts in one group, about.
+_GROUP_ROWS = 1_000_000
 
 
-def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
+def _digits(rows: int) -> int:
+    """Digits that keep the groups of a full ranking near ``_GROUP_ROWS`` rows, three at least."""
+    digits = _PREFIX_DIGITS
+    while rows > _GROUP_ROWS * 15 * 16 ** (digits - 1):
+        digits += 1
+    return digits
+
+
+def _hashed(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
     hashed = df.withColumn("_hash", seeded_hash(seed, key))
     zeros = F.lit(_HASH_DIGITS) - F.length(F.ltrim(F.col("_hash"), F.lit("0")))
-    return hashed.withColumn("_prefix", F.substring("_hash", F.lit(1), zeros + _PREFIX_DIGITS))
+    return hashed.withColumn("_prefix", F.substring("_hash", F.lit(1), zeros + digits))
 
 
 def _offsets(hashed: DataFrame, strata: list[str]) -> DataFrame:
     """Rows before each prefix and rows in all, per stratum.
 
-    A stratum has 3,840 prefixes for each count of leading zeros: some 35,000 rows at a hundred
-    billion keys, and never more than 32 times 3,840.
+    With three digits a stratum has 3,840 prefixes for each count of leading zeros: some 35,000 rows
+    at a hundred billion keys. A full ranking has more digits where groups would grow beyond
+    ``_GROUP_ROWS``, and then at most some 20 prefixes per million rows.
     """
     counts = hashed.groupBy(*strata, "_prefix").agg(F.count("*").alias("_rows"))
     whole = Window.partitionBy(*strata)
@@ -60,7 +72,9 @@ def _ranked(
 
     ``strata`` must be columns with a fixed set of values: the offsets are broadcast.
     """
-    hashed = _hashed(df, key, seed)
+    # Only a full ranking sorts every group; a cut drops all but one of them beforehand.
+    digits = _PREFIX_DIGITS if wanted is not None else _digits(df.count())
+    hashed = _hashed(df, key, seed, digits)
     offsets = _offsets(hashed.select(*strata, "_prefix"), strata)
     rows = hashed.join(F.broadcast(offsets), [*strata, "_prefix"])
     if wanted is not None:
@@ -69,7 +83,8 @@ def _ranked(
     rows = rows.withColumn("_in_prefix", F.row_number().over(order))
     if wanted is not None:
         # Implied by the exact cut below; stated so that Spark limits each group before the shuffle.
-        rows = rows.where(F.col("_in_prefix") <= most)
+        # Spark limits groups to int counts only; a larger sample goes without the early limit.
+        rows = rows.where(F.col("_in_prefix") <= most) if most < 2**31 else rows
     rows = rows.withColumn(rank, F.col("_before") + F.col("_in_prefix"))
     if wanted is not None:
         rows = rows.where(F.col(rank) <= wanted)

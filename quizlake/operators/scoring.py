@@ -161,7 +161,7 @@ def score_sheet(
     hit = known & (compare.exact(prediction, reference) == 1)
     return df.groupBy(*by).agg(
         _rows(weight).alias("n"),
-        _rows(weight, F.col(pred).isNotNull()).alias("answered"),
+        _rows(weight, compare.is_valid(F.col(pred))).alias("answered"),
         _rows(weight, ~known).alias("no_reference"),
         _share(_rows(weight, hit), _rows(weight, known)).alias("em"),
     )

@@ -13,7 +13,7 @@ from quizlake.operators import scoring
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
-from quizlake.session import scratch_path
+from quizlake.session import materialise, scratch_path
 from quizlake.sources.result_table import ResultTable
 
 _TARGET = 1000
@@ -65,14 +65,15 @@ def annotate_batch(spark: SparkSession, folder: str) -> DataFrame:
         ORDER BY {ov.seeded(fv.SAMPLE_SEED, 'item_id')}, item_id LIMIT {_TARGET}""",
         "mcq",
         prompted=_PROMPTED,
-        replied=f"SELECT *, {_reply_sql('prompt')} AS response FROM prompted",
+        replied=f"SELECT *, {_reply_sql('prompt')} AS response FROM prompted WHERE item_id % 7 <> 0",
     ),
 )
 def annotate_until_target(spark: SparkSession, folder: str) -> DataFrame:
-    """Rounds of asking until a thousand items have a valid answer."""
+    """Rounds of asking until a thousand items have a valid answer; one item in seven has no prompt."""
+    items = _prompted(spark, folder).withColumn("prompt", F.when(F.col("item_id") % 7 != 0, F.col("prompt")))
     table = ResultTable(spark, scratch_path(spark, "annotated")).create()
     done = ann.annotate_until(
-        _prompted(spark, folder), table, ann.template_responder, last_letter, _TARGET
+        items, table, ann.template_responder, last_letter, _TARGET
     )
     return done.select("item_id", "LLMs_answer", "status", "rank")
 
@@ -94,5 +95,7 @@ def annotate_until_target(spark: SparkSession, folder: str) -> DataFrame:
 def generate_and_score(spark: SparkSession, folder: str) -> DataFrame:
     """Two runs asked and scored in one job."""
     items = _prompted(spark, folder)
-    replies = ann.annotate_runs(items, _RUNS, ann.template_responder)
+    asked = ann.annotate_runs(items, _RUNS, ann.template_responder)
+    # Written before they are scored: a lost task must not ask again.
+    replies = materialise(asked, "replies")
     return scoring.score_runs(replies, items, ["run"])

@@ -110,6 +110,7 @@ def strict_responses(spark: SparkSession, folder: str) -> DataFrame:
             F.concat(F.lit("By steps.\nThe correct answer is "), letter, F.lit(".")),
             F.concat(F.lit("the CORRECT answer is "), F.lower(letter), F.lit(" or so")),
             F.concat(F.lit("The correct answer is: "), letter),
+            None,
         ],
     )
     return table(spark, folder, "orders").select(
@@ -220,7 +221,8 @@ def grid_responses(spark: SparkSession, folder: str) -> DataFrame:
     shots = (
         F.when(F.col("l_tax") < 0.03, "zero_shot")
         .when(F.col("l_tax") < 0.06, "one_shot")
-        .otherwise("one_shot_cot")
+        .when(F.col("l_tax") < 0.08, "one_shot_cot")
+        .otherwise("two_shot")
     )
     echo = F.when(shots == "zero_shot", "").otherwise("Output: Answer: B\n\n")
     letter = _letter(F.col("l_quantity").cast("int") % 5)

@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
               FROM orders)""",
     "strict_responses": """
         SELECT response_id, item_id, run,
-               CASE response_id % 3
+               CASE response_id % 4
                     WHEN 0 THEN 'By steps.' || chr(10) || 'The correct answer is ' || l || '.'
                     WHEN 1 THEN 'the CORRECT answer is ' || lower(l) || ' or so'
                     WHEN 2 THEN 'The correct answer is: ' || l END AS response
@@ -115,7 +115,8 @@ VIEWS: dict[str, str] = {
                             || CASE WHEN l_discount > 0.05 THEN 'lora' ELSE 'full' END
                             || '_finetune_t5-small_custom' || (l_linenumber * 500) END AS run,
                      CASE WHEN l_tax < 0.03 THEN 'zero_shot'
-                          WHEN l_tax < 0.06 THEN 'one_shot' ELSE 'one_shot_cot' END AS shots
+                          WHEN l_tax < 0.06 THEN 'one_shot'
+                          WHEN l_tax < 0.08 THEN 'one_shot_cot' ELSE 'two_shot' END AS shots
               FROM lineitem)""",
 }
 
@@ -177,7 +178,7 @@ def letter_after_phrase(text: str) -> str:
 
 def strict_letter(text: str) -> str:
     found = f"regexp_extract({text}, '(?i){fv.STRICT_PHRASE}', 1)"
-    return f"coalesce(upper(nullif({found}, '')), 'N/A')"
+    return f"CASE WHEN {text} IS NOT NULL THEN coalesce(upper(nullif({found}, '')), 'N/A') END"
 
 
 def last_number_text(text: str) -> str:

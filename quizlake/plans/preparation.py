@@ -84,13 +84,13 @@ def options_legacy_quoted(spark: SparkSession, folder: str) -> DataFrame:
         """
         SELECT item_id, options_text AS by_json, options_text AS by_list
         FROM (SELECT item_id, list_aggregate(options, 'string_agg', '|') AS options_text
-              FROM parsed WHERE options IS NOT NULL)""",
+              FROM parsed)""",
         "parsed",
     ),
 )
 def options_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Options out to JSON and list text and back again."""
-    df = prep.parse_options(fx.mcq_raw(spark, folder)).where(_o().isNotNull())
+    df = prep.parse_options(fx.mcq_raw(spark, folder))
     by_json = opt.options_from_json(opt.options_to_json(_o()))
     by_list = opt.options_from_list_text(opt.options_to_list_text(_o()))
     return df.select(

@@ -10,6 +10,7 @@ from quizlake.operators import items as prep
 from quizlake.operators import leaderboard as board
 from quizlake.operators import scoring
 from quizlake.operators.joins import attach, missing_runs, pending
+from quizlake.operators.rescore import reextract, score_table
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
@@ -38,10 +39,19 @@ def split_scan(spark: SparkSession, folder: str) -> DataFrame:
     return split.select("item_id", "question", "correct")
 
 
+# One item in 37 has no reference letter.
+_REFERENCED = """
+    SELECT item_id, question, options, kind, CASE WHEN item_id % 37 <> 0 THEN correct END AS correct FROM mcq"""
+
+
+def _referenced(items: DataFrame) -> DataFrame:
+    return items.withColumn("correct", F.when(F.col("item_id") % 37 != 0, F.col("correct")))
+
+
 def _written_runs(spark: SparkSession, folder: str) -> str:
     path = scratch_path(spark, "runs-csv")
-    items = fx.mcq(spark, folder).select("item_id", "question", "options", "correct")
-    records = attach(fx.responses(spark, folder), items, "item_id").select(
+    items = _referenced(fx.mcq(spark, folder)).select("item_id", "question", "options", "correct")
+    records = attach(fx.responses(spark, folder), items, "item_id", "left").select(
         "run", "question", "options", "correct", F.col("response").alias("llm_answer")
     )
     run_csv.write_run_csv(records, path)
@@ -52,13 +62,15 @@ def _written_runs(spark: SparkSession, folder: str) -> str:
     "csv_runs_scored",
     ov.query(
         f"""
-        SELECT run, count(*) AS n, count(pred) AS answered, CAST(0 AS BIGINT) AS no_reference,
-               round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END), 6) AS em,
+        SELECT run, count(*) AS n, count(pred) AS answered,
+               count(*) FILTER (WHERE correct IS NULL) AS no_reference,
+               round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE correct IS NOT NULL), 6) AS em,
                sum(len(options)) AS options_read
         FROM (SELECT *, {ov.last_letter('response')} AS pred FROM responses)
-             JOIN mcq USING (item_id) GROUP BY run""",
+             LEFT JOIN referenced USING (item_id) GROUP BY run""",
         "mcq",
         "responses",
+        referenced=_REFERENCED,
     ),
 )
 def csv_runs_scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,8 +82,14 @@ def csv_runs_scored(spark: SparkSession, folder: str) -> DataFrame:
         extract.last_letter(F.col("llm_answer")).alias("pred"),
         F.size("options").alias("_options"),
     )
-    read = graded.groupBy("run").agg(F.sum("_options").cast("bigint").alias("options_read"))
-    return scoring.score_sheet(graded, ["run"], "pred", "correct").join(read, "run")
+    known, hit = F.col("correct").isNotNull(), F.col("pred").eqNullSafe(F.col("correct"))
+    return graded.groupBy("run").agg(
+        F.count("*").alias("n"),
+        F.count("pred").alias("answered"),
+        F.count_if(~known).alias("no_reference"),
+        F.round(F.avg(F.when(known, hit.cast("int"))), 6).alias("em"),
+        F.sum("_options").cast("bigint").alias("options_read"),
+    )
 
 
 @register(
@@ -79,17 +97,19 @@ def csv_runs_scored(spark: SparkSession, folder: str) -> DataFrame:
     ov.query(
         """
         SELECT 'ok' AS status, count(*) AS n,
-               count(*) FILTER (WHERE response IS NULL) AS blank
-        FROM responses JOIN mcq USING (item_id)""",
+               count(*) FILTER (WHERE response IS NULL) AS blank,
+               count(*) FILTER (WHERE correct IS NULL) AS no_reference
+        FROM responses LEFT JOIN referenced USING (item_id)""",
         "mcq",
         "responses",
+        referenced=_REFERENCED,
     ),
 )
 def csv_file_status(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per file status; file names differ from run to run, so files are summed up."""
     files = run_csv.run_file_status(spark, _written_runs(spark, folder))
     return files.groupBy("status").agg(
-        F.sum("n").cast("bigint").alias("n"), F.sum("blank").cast("bigint").alias("blank")
+        *[F.sum(c).cast("bigint").alias(c) for c in ("n", "blank", "no_reference")]
     )
 
 
@@ -121,6 +141,66 @@ def result_table_resumed(spark: SparkSession, folder: str) -> DataFrame:
     return table.read().select("item_id", "status", "LLMs_answer")
 
 
+@register(
+    "result_table_rescored",
+    ov.query(
+        f"""
+        SELECT item_id % 5 AS part, count(*) AS n,
+               count(pred) AS answered, count(*) FILTER (WHERE correct IS NULL) AS no_reference,
+               round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE correct IS NOT NULL), 6) AS em
+        FROM (SELECT *, {ov.last_letter('response')} AS pred
+              FROM responses JOIN referenced USING (item_id) WHERE response_id % 3 <> 0)
+        GROUP BY 1""",
+        "mcq",
+        "responses",
+        referenced=_REFERENCED,
+    ),
+)
+def result_table_rescored(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored replies read by another rule, the table replaced, and its score taken from it."""
+    table = ResultTable(spark, scratch_path(spark, "rescored")).create()
+    items = _referenced(fx.mcq(spark, folder))
+    replies = fx.responses(spark, folder).withColumnRenamed("response", "LLMs_rationale")
+    rows = attach(replies, items.select("item_id", "question", "options", "correct"), "item_id")
+    stored = F.when(F.col("response_id") % 3 == 0, "pending").otherwise("unparsed")
+    table.append(rows.withColumns({"LLMs_answer": F.lit(None), "status": stored}))
+    reextract(table, extract.last_letter)
+    return score_table(table, [(F.col("item_id") % 5).alias("part")])
+
+
+@register(
+    "csv_grid_scored",
+    ov.query(
+        f"""
+        SELECT shots, run, count(*) AS n, count(*) FILTER (WHERE correct IS NULL) AS no_reference,
+               round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE correct IS NOT NULL), 6) AS em
+        FROM (SELECT *, {ov.last_letter_after('response', 'n_shot')} AS pred FROM grid_responses WHERE item_id % 4 = 0)
+             LEFT JOIN referenced USING (item_id)
+        GROUP BY shots, run""",
+        "mcq",
+        "grid_responses",
+        referenced=_REFERENCED,
+    ),
+)
+def csv_grid_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """Result files in a tree of folders, the shot setting being a folder, read and scored at once."""
+    path = scratch_path(spark, "grid-csv")
+    items = _referenced(fx.mcq(spark, folder)).select("item_id", "question", "options", "correct")
+    grid = fx.grid_responses(spark, folder).where("item_id % 4 = 0")
+    records = attach(grid, items, "item_id", "left").select(
+        "shots", "run", "question", "options", "correct", F.col("response").alias("llm_answer")
+    )
+    run_csv.write_run_csv(records, path, record_separator="\x1e", above=["shots"])
+    rows = run_csv.read_run_csv_tree(spark, path, "*.csv", record_separator="\x1e")
+    setting = F.element_at(F.split(F.col("folders")[0], "="), 2)
+    run = F.url_decode(F.element_at(F.split(F.col("folders")[1], "="), 2))
+    shots = F.when(setting == "zero_shot", 0).otherwise(1)
+    graded = rows.select(
+        setting.alias("shots"), run.alias("run"), "correct", extract.last_letter_after(F.col("llm_answer"), shots).alias("pred")
+    )
+    return scoring.score_sheet(graded, ["shots", "run"], "pred", "correct").drop("answered")
+
+
 @register(
     "pending_rows",
     ov.query(
@@ -188,15 +268,16 @@ _NAMED = f"""
           FROM (SELECT *, string_split(run, '/')[-1] AS stem FROM counts))"""
 
 _COUNTS = f"""
-    SELECT run, shots, count(*) AS n, sum(CASE WHEN pred = correct THEN 1 ELSE 0 END) AS hits
+    SELECT run, shots, count(*) AS n, count(*) FILTER (WHERE correct IS NULL) AS no_reference,
+           sum(CASE WHEN pred = correct THEN 1 ELSE 0 END) AS hits
     FROM (SELECT *, {ov.last_letter_after('response', 'n_shot')} AS pred FROM grid_responses)
-         JOIN mcq USING (item_id) GROUP BY run, shots"""
+         LEFT JOIN referenced USING (item_id) GROUP BY run, shots"""
 
 
 def _grid_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and hits per named run and shot setting, with the parameters from the names."""
     counts = scoring.run_counts(
-        fx.grid_responses(spark, folder), fx.mcq(spark, folder), ["run", "shots"], shots="n_shot"
+        fx.grid_responses(spark, folder), _referenced(fx.mcq(spark, folder)), ["run", "shots"], shots="n_shot"
     )
     return board.with_run_fields(counts)
 
@@ -247,10 +328,12 @@ def run_names_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
         SELECT CAST(kd AS VARCHAR) AS kd, method, shots, n_train,
                4 - CAST(grouping(kd) + grouping(method) + grouping(shots) + grouping(n_train)
                         AS BIGINT) AS level,
-               CAST(sum(n) AS BIGINT) AS n, round(sum(hits) / sum(n)::DOUBLE, 6) AS em
+               CAST(sum(n) AS BIGINT) AS n, CAST(sum(no_reference) AS BIGINT) AS no_reference,
+               round(sum(hits) / nullif(sum(n) - sum(no_reference), 0)::DOUBLE, 6) AS em
         FROM named GROUP BY ROLLUP (kd, method, shots, n_train)""",
         "mcq",
         "grid_responses",
+        referenced=_REFERENCED,
         counts=_COUNTS,
         named=_NAMED,
     ),
@@ -262,10 +345,13 @@ def leaderboard_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("kd", F.col("kd").cast("string"))
 
 
+_SHOTS = ["zero_shot", "one_shot", "one_shot_cot", "two_shot"]
+
+
 def _pivot_sql(shots: str) -> str:
     return (
         f"round(sum(hits) FILTER (WHERE shots = '{shots}')"
-        f" / nullif(sum(n) FILTER (WHERE shots = '{shots}'), 0)::DOUBLE, 6) AS {shots}"
+        f" / nullif(sum(n - no_reference) FILTER (WHERE shots = '{shots}'), 0)::DOUBLE, 6) AS {shots}"
     )
 
 
@@ -274,15 +360,16 @@ def _pivot_sql(shots: str) -> str:
     ov.query(
         f"""
         SELECT base_model, CAST(kd AS VARCHAR) AS kd, layers, n_train, r, alpha,
-               {", ".join(_pivot_sql(shots) for shots in board.SHOTS)}
+               {", ".join(_pivot_sql(shots) for shots in _SHOTS)}
         FROM named GROUP BY ALL""",
         "mcq",
         "grid_responses",
+        referenced=_REFERENCED,
         counts=_COUNTS,
         named=_NAMED,
     ),
 )
 def leaderboard_pivot(spark: SparkSession, folder: str) -> DataFrame:
     dimensions = ["base_model", "kd", "layers", "n_train", "r", "alpha"]
-    rows = board.by_shots(_grid_counts(spark, folder), dimensions)
+    rows = board.by_shots(_grid_counts(spark, folder), dimensions, _SHOTS)
     return rows.withColumn("kd", F.col("kd").cast("string"))

@@ -232,7 +232,7 @@ def em_nullsafe(spark: SparkSession, folder: str) -> DataFrame:
         """
         SELECT run, n, answered, no_reference, em, round(em, 4) AS fraction,
                round(em * 100, 2) AS percent
-        FROM (SELECT run, count(*) AS n, count(pred) AS answered,
+        FROM (SELECT run, count(*) AS n, count(*) FILTER (WHERE pred <> 'N/A') AS answered,
                      count(*) FILTER (WHERE correct IS NULL) AS no_reference,
                      round(avg(CASE WHEN correct IS NULL THEN NULL
                                     WHEN pred = upper(correct) THEN 1.0 ELSE 0.0 END), 6) AS em

@@ -28,7 +28,10 @@ _REPLY = [
     T.StructField("LLMs_rationale", _TEXT),
     T.StructField("LLMs_answer", _TEXT),
     T.StructField("status", _TEXT),
+    T.StructField("error", _TEXT),
+    T.StructField("attempts", T.LongType()),
 ]
+REPLY_NAMES = [field.name for field in _REPLY]
 
 RESULTS = {
     "mcq": T.StructType(ITEM.fields[:4] + _REPLY),

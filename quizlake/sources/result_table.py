@@ -43,7 +43,11 @@ class ResultTable:
         entry.write.mode("append").parquet(self._log())
 
     def _conform(self, df: DataFrame) -> DataFrame:
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
+        """The table's columns; what ``df`` does not know of a reply's making is null."""
+        optional = {"error", "attempts"} - set(df.columns)
+        return df.select(
+            *[(F.lit(None) if f.name in optional else F.col(f.name)).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        )
 
     def _write_version(self, df: DataFrame) -> None:
         version = (self.version() or 0) + 1

@@ -21,13 +21,15 @@ def _csv_options(record_separator: str | None) -> dict[str, str]:
     return {"multiLine": "false", "escape": '"', "lineSep": record_separator}
 
 
-def write_run_csv(df: DataFrame, path: str, record_separator: str | None = None) -> None:
-    """Response records as CSV under ``path``, a folder per run."""
+def write_run_csv(
+    df: DataFrame, path: str, record_separator: str | None = None, above: list[str] | None = None
+) -> None:
+    """Response records as CSV under ``path``, a folder per run, within folders of the columns ``above``."""
     rows = df.withColumn("options", options_to_list_text(F.col("options")))
     options = {"header": "true", "escape": '"', "quoteAll": "true"}
     if record_separator is not None:
         options["lineSep"] = record_separator
-    rows.write.options(**options).partitionBy("run").csv(path)
+    rows.write.options(**options).partitionBy(*(above or []), "run").csv(path)
 
 
 def _path(column: Column) -> Column:
@@ -61,6 +63,29 @@ def read_run_csv(
     return df.withColumn("options", options_from_list_text(F.col("options")))
 
 
+def read_run_csv_tree(
+    spark: SparkSession, folder: str, pattern: str = RUN_FILES, record_separator: str | None = None
+) -> DataFrame:
+    """Records of every matching file at any depth, with ``path``, ``file`` (its stem) and ``folders``,
+    the names of the folders between ``folder`` and the file. One scan, whatever the tree."""
+    reader = spark.read.schema(RUN_CSV).options(
+        header="true", pathGlobFilter=pattern, recursiveFileLookup="true", **_csv_options(record_separator)
+    )
+    df = reader.csv(folder).withColumn("path", _path(F.col("_metadata.file_path")))
+    depth = len([part for part in folder.split("://", 1)[-1].split("/") if part])
+    # Parts of the address behind its scheme; a file's last part is its name.
+    parts = F.filter(F.split(F.regexp_replace("path", "^[^/]*:/+", "/"), "/"), lambda part: part != "")
+    inner = F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth - 1, F.lit(0)))
+    inner = F.transform(inner, lambda part: F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))))
+    return df.withColumns(
+        {
+            "folders": inner,
+            "file": file_stem(_file_name(F.col("path"))),
+            "options": options_from_list_text(F.col("options")),
+        }
+    )
+
+
 def _is_header() -> Column:
     names = RUN_CSV.names[:4]
     return F.coalesce(
@@ -72,11 +97,14 @@ def _is_header() -> Column:
 def run_file_status(
     spark: SparkSession,
     folder: str,
-    n_shot: int = 0,
+    n_shot: int | Column = 0,
     pattern: str = "*.csv",
     record_separator: str | None = None,
 ) -> DataFrame:
-    """One row per file: (path, file, status, n, blank, em), whatever is in the file.
+    """One row per file: (path, file, status, n, blank, no_reference, em), whatever is in the file.
+
+    Rows without a reference letter leave the mean, as in ``score_runs``. ``n_shot`` may be a column
+    over ``path``, where files in one folder differ.
 
     ``status`` is ``ok``, ``empty_file``, ``no_rows`` or ``bad_columns``; only ``ok`` files get a
     score. Everything is one aggregation per file, joined to the file listing.
@@ -89,22 +117,25 @@ def run_file_status(
         **_csv_options(record_separator),
     )
     text = F.col("llm_answer")
-    letter = extract.last_letter_after(text, n_shot) if n_shot else extract.last_letter(text)
-    records = reader.csv(folder)
+    records = reader.csv(folder).withColumn("path", _path(F.col("_metadata.file_path")))
+    letter = extract.last_letter_after(text, n_shot)
     rows = records.select(
-        _path(F.col("_metadata.file_path")).alias("path"),
+        "path",
         _is_header().alias("_header"),
         text.isNull().alias("_blank"),
-        F.when(letter.eqNullSafe(F.col("correct")) & letter.isNotNull(), 1).otherwise(0).alias("_hit"),
+        F.col("correct").isNull().alias("_unknown"),
+        F.when(letter == F.col("correct"), 1).otherwise(0).alias("_hit"),
     )
     data = ~F.col("_header")
     per_file = rows.groupBy("path").agg(
         F.max("_header").alias("_known"),
         F.count_if(data).alias("n"),
         F.count_if(data & F.col("_blank")).alias("blank"),
-        F.round(F.avg(F.when(data, F.col("_hit"))), 6).alias("em"),
+        F.count_if(data & F.col("_unknown")).alias("no_reference"),
+        F.round(F.avg(F.when(data & ~F.col("_unknown"), F.col("_hit"))), 6).alias("em"),
     )
-    # Names alone, as Spark has listed them, empty files too; so a file without a record has a row.
+    # Names alone, as Spark has listed them, empty files too, which its readers pass over; so a file
+    # without a record has a row.
     names = [(name,) for name in records.inputFiles()]
     listing = spark.createDataFrame(names, "path string").select(_path(F.col("path")).alias("path"))
     status = (
@@ -123,6 +154,7 @@ def run_file_status(
             "status",
             F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
             F.when(scored, F.col("blank")).alias("blank"),
+            F.when(scored, F.col("no_reference")).alias("no_reference"),
             F.when(scored, F.col("em")).alias("em"),
         )
     )

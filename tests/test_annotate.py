@@ -78,12 +78,13 @@ def test_responder_is_made_once_per_task(spark, tmp_path):
 
 def test_runs_are_rows(spark):
     df = spark.createDataFrame([(1, "p"), (2, "q")], "item_id long, prompt string")
-    rows = ann.annotate_runs(df, ["x", "y"], lambda: lambda batch: batch).collect()
+    pairs = lambda: lambda batch, runs: [f"{run}:{prompt}" for prompt, run in zip(batch, runs)]
+    rows = ann.annotate_runs(df, ["x", "y"], pairs).collect()
     assert sorted((r["run"], r["item_id"], r["response"]) for r in rows) == [
-        ("x", 1, "x\np"),
-        ("x", 2, "x\nq"),
-        ("y", 1, "y\np"),
-        ("y", 2, "y\nq"),
+        ("x", 1, "x:p"),
+        ("x", 2, "x:q"),
+        ("y", 1, "y:p"),
+        ("y", 2, "y:q"),
     ]
 
 
@@ -141,3 +142,34 @@ def test_seeded_rows_are_pending(spark, tmp_path, asked):
     assert ann.annotate_until(asked, table, ann.template_responder, last_letter, 20).count() == 20
     table.compact()
     assert table.read().count() == 200
+
+
+def test_items_without_a_prompt_are_never_in_the_way(spark, tmp_path, asked):
+    from quizlake.operators.sampling import seeded_rank
+
+    ranked = seeded_rank(asked, "item_id", 42)
+    some = ranked.withColumn("prompt", F.when(F.col("rank") > 40, F.col("prompt"))).drop("rank")
+    table = ResultTable(spark, str(tmp_path / "t")).create()
+    done = ann.annotate_until(some, table, ann.template_responder, last_letter, 30, seed=42)
+    assert done.count() == 30 and all(r["target_met"] for r in done.collect())
+    short = ann.annotate_until(some, table, ann.template_responder, last_letter, 10_000, seed=42)
+    assert table.read().count() == 160 and not short.first()["target_met"]
+
+
+def test_rounds_may_be_limited_but_not_in_silence(spark, tmp_path, asked):
+    table = ResultTable(spark, str(tmp_path / "t")).create()
+    with pytest.raises(RuntimeError, match="0 of 5 valid"):
+        ann.annotate_until(asked, table, lambda: lambda batch: ["hm"] * len(batch), last_letter, 5, max_rounds=2)
+
+
+def test_errors_are_stored_with_the_reply(spark, tmp_path, asked):
+    def make():
+        def respond(batch):
+            raise RuntimeError("down")
+
+        return respond
+
+    table = ResultTable(spark, str(tmp_path / "t")).create()
+    ann.annotate_until(asked.limit(3), table, make, last_letter, 1, retries=1)
+    rows = table.read().collect()
+    assert len(rows) == 3 and all((r["error"], r["attempts"], r["status"]) == ("RuntimeError: down", 2, "unparsed") for r in rows)

@@ -45,7 +45,7 @@ CASES = [
     ("İ answer: a", "A", "A", None, None, None, "N/A"),
     ("Answers: A", None, None, None, None, None, "N/A"),
     ("answer is: 3-1=2", None, None, None, "2", None, "N/A"),
-    (None, None, None, None, None, None, "N/A"),
+    (None, None, None, None, None, None, None),
 ]
 RULES = [
     extract.clean_letter,
@@ -151,3 +151,18 @@ def test_rules_equal_the_plain_patterns(spark, batch):
     for row in rows:
         wanted = (_letters(row["t"]), _clean(row["t"]), _after(row["t"]), _number(row["t"]))
         assert (row["letters"], row["clean"], row["after"], row["number"]) == wanted, repr(row["t"])
+
+
+def test_long_runs_of_blanks_are_passed_in_no_time(spark):
+    """Time must not grow with the square of a run's length."""
+    import time
+
+    from quizlake.functions.prompts import without_closing
+
+    blanks = " " * 200_000
+    df = spark.createDataFrame([(f"answer{blanks}x", f"a{blanks}z")], "text string, rationale string").cache()
+    df.count()
+    started = time.perf_counter()
+    row = df.select(extract.last_letter(F.col("text")), without_closing(F.col("rationale"))).first()
+    assert row[0] is None and len(row[1]) == 200_002
+    assert time.perf_counter() - started < 5

@@ -93,3 +93,8 @@ def test_preparing_answer_columns(spark):
     assert ready.columns == ["item_id", "LLMs_rationale", "LLMs_answer", "status"]
     assert prep.drop_rationale(ready).columns == ready.columns
     assert tuple(ready.first()) == (1, None, None, "pending")
+
+
+def test_a_null_option_is_a_problem(spark):
+    df = spark.createDataFrame([(["a", None, "c", "d", "e"], "A"), (list("abcde"), "A")], "options array<string>, correct string")
+    assert [r[0] for r in df.select(opt.shape_problem(F.col("options"), F.col("correct"))).collect()] == ["null_option", "ok"]

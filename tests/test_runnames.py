@@ -72,5 +72,5 @@ def test_rollup_levels(spark):
     assert rows[(0, None, None)] == (40, 0.35)
     assert rows[(1, "x", None)] == (20, 0.2)
     assert rows[(2, "y", "zero_shot")] == (20, 0.5)
-    wide = {r["method"]: r for r in leaderboard.by_shots(df, ["method"]).collect()}
+    wide = {r["method"]: r for r in leaderboard.by_shots(df, ["method"], ["zero_shot", "one_shot", "one_shot_cot"]).collect()}
     assert (wide["x"]["zero_shot"], wide["x"]["one_shot"], wide["x"]["one_shot_cot"]) == (0.1, 0.3, None)

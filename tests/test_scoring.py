@@ -128,7 +128,7 @@ def test_hot_keys_change_no_row(spark, how, hot_rows):
     key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 40)
     rows = spark.range(3000).withColumn("item_id", key.cast("long"))
     table = spark.range(30).select(F.col("id").alias("item_id"), (F.col("id") * 2).alias("v"))
-    mine = joins.attach(rows, table, "item_id", how, hot_rows)
+    mine = joins.attach(rows, table, "item_id", how, hot_rows, broadcast_bytes=0)
     plain = rows.join(table, "item_id", how)
     assert mine.columns == plain.columns
     assert sorted(mine.collect(), key=str) == sorted(plain.collect(), key=str)
@@ -137,7 +137,7 @@ def test_hot_keys_change_no_row(spark, how, hot_rows):
 def test_hot_key_is_spread_over_salts(spark):
     rows = spark.range(2000).withColumn("item_id", F.lit(5).cast("long"))
     table = spark.range(10).withColumnRenamed("id", "item_id")
-    df = joins.attach(rows, table, "item_id", hot_rows=10)
+    df = joins.attach(rows, table, "item_id", hot_rows=10, broadcast_bytes=0)
     assert df.count() == 2000
     # The salt is part of the join, so that a shuffled join has more than one task for the key.
     assert "_salt" in df._jdf.queryExecution().optimizedPlan().toString()
@@ -165,3 +165,23 @@ def test_row_verdicts_keep_every_reply(spark):
     )
     rows = scoring.row_verdicts(replies, items, extract.last_letter).orderBy("response_id").collect()
     assert [r["verdict"] for r in rows] == ["Correct", "Incorrect", "Incorrect", "Incorrect"]
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, null, id % 50) AS item_id")
+    table = spark.range(50).selectExpr("id AS item_id", "'x' AS correct")
+    joined = joins.attach(rows, table, "item_id", "left", hot_rows=1000, broadcast_bytes=0)
+    assert joined.count() == 3000 and joined.where("item_id is null and correct is null").count() == 1000
+
+
+def test_means_agree_where_references_are_missing(spark):
+    from quizlake.operators import leaderboard
+
+    items = spark.createDataFrame([(1, "A"), (2, None)], "item_id long, correct string")
+    replies = spark.createDataFrame([(1, "r", "s", "Answer: A"), (2, "r", "s", "Answer: B")], "item_id long, run string, shots string, response string")
+    counts = scoring.run_counts(replies, items, ["run", "shots"])
+    assert scoring.score_runs(replies, items, ["run"]).first()["em"] == 1.0
+    assert leaderboard.leaderboard(counts, ["run"]).where("run = 'r'").first()["em"] == 1.0
+    assert leaderboard.by_shots(counts, ["run"]).first()["s"] == 1.0
+    with pytest.raises(Exception, match="unlisted shot setting: s"):
+        leaderboard.by_shots(counts, ["run"], ["other"]).collect()

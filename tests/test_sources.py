@@ -151,7 +151,7 @@ def test_a_version_that_was_never_logged_is_not_read(spark, tmp_path, ready):
 
 def test_numeric_table(spark, tmp_path):
     table = ResultTable(spark, str(tmp_path / "n"), "numeric").create()
-    assert table.read().columns == ["item_id", "question", "answer", "LLMs_rationale", "LLMs_answer", "status"]
+    assert table.read().columns == ["item_id", "question", "answer", "LLMs_rationale", "LLMs_answer", "status", "error", "attempts"]
     with pytest.raises(ValueError):
         ResultTable(spark, str(tmp_path / "n"), "other")
 
