@@ -138,8 +138,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Ite
         yield from packed()
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class: how many of this partition's shingles it shares with another class."""
+def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """How many of this partition's shingles each class shares with another, packed per bucket of classes."""
     tokens, owners, settled, counts = [], [], [], []
     for batch in batches:
         for bucket, prints, a, b in zip(*(batch.column(n).to_pylist() for n in ("bucket", "prints", "tokens", "places"))):
@@ -168,6 +168,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if settled:
         names, places = np.unique(np.concatenate(settled), return_inverse=True)
         total = np.bincount(places, np.concatenate(counts)).astype(np.int64)
+        bucket = names.view(np.uint64) % np.uint64(buckets)
+        if not len(names):
+            return
+        rows = [(int(b), names[bucket == b].tobytes(), total[bucket == b].tobytes()) for b in np.unique(bucket)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary()])], ["classes", "prints", "hits"]
+        )
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of its packed counts for every class."""
+    found = [(np.frombuffer(p, np.int64), np.frombuffer(h, np.int64)) for b in batches for p, h in zip(b.column("prints").to_pylist(), b.column("hits").to_pylist())]
+    if found:
+        names, places = np.unique(np.concatenate([p for p, _ in found]), return_inverse=True)
+        total = np.bincount(places, np.concatenate([h for _, h in found])).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total)], ["one", "hits"])
 
 
@@ -373,7 +388,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = keyed.groupBy("one", "two").agg(F.min("key_").alias("rep"), F.first("n").alias("n"), F.first("counted").alias("counted"))
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = source.where("key_ is not null").mapInArrow(lambda b: _occurrences(b, words, buckets), "bucket int, prints binary, tokens binary, places binary")
-    hits = packed.repartition("bucket").mapInArrow(_shared, "one long, hits long").groupBy("one").agg(F.sum("hits").alias("hits"))
+    shared = packed.repartition("bucket").mapInArrow(lambda b: _shared(b, buckets), "classes int, prints binary, hits binary")
+    hits = shared.repartition("classes").mapInArrow(_summed, "one long, hits long")
     # Of n shingles at most n - ceil(threshold n) may be missing from a partner.
     may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
     left = classes.where("n > 2").join(hits, "one", "left").where(F.coalesce("hits", F.lit(0)) >= F.col("counted") - may_miss)
