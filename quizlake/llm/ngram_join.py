@@ -333,12 +333,20 @@ def _links(held: DataFrame, percent: int) -> DataFrame:
     spread = held.select("rep", "n", F.explode("tokens").alias("token"))
     counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     common = spread.join(counts, "token")
-    ranked = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    ranked = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"), F.sum("df").alias("known"))
     # Prefix: of n shingles from rare to frequent, all but the last ceil(threshold n) and one more.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("common"))
-    rare = ranked.select("rep", F.explode(F.slice("common", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("rep", F.col("x.token").alias("token"))
+    rare = ranked.select(
+        "rep", "n", (F.col("known") / F.col("n")).alias("weight"), (F.col("n") - F.size("common")).alias("own"),
+        F.posexplode(F.slice("common", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("pos", "x"),
+    )
+    # A pair meets first at its rarest common shingle, and all its other common ones come later: from
+    # there, a class can reach the threshold only with partners of at most this size.
+    reach = F.floor((F.col("n") - F.col("own") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
+    rare = rare.select("rep", "n", "weight", F.col("x.token").alias("token"), reach.alias("reach"))
     met = materialise(rare, "prefixes")
-    groups = met.groupBy("token").agg(F.count("*").alias("m"), F.min("rep").alias("pivot")).where("m > 1")
+    # The pivot is the class whose shingles are the most common ones: what edited copies come from.
+    groups = met.groupBy("token").agg(F.count("*").alias("m"), F.max_by("rep", F.struct("weight", "rep")).alias("pivot")).where("m > 1")
     rows = met.join(groups, "token")
     # Every class goes to the group of its most frequent rare shingle.
     route = rows.groupBy("rep").agg(F.max_by(F.struct("token", "m", "pivot"), F.struct("m", "token")).alias("r"))
@@ -358,13 +366,18 @@ def _links(held: DataFrame, percent: int) -> DataFrame:
         home.select("rep", "route", "chunk").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "placed"
     )
     # Shingles whose classes are of several components still: these may hide a link.
-    seats = met.join(placed, "rep").select("token", "rep", "route", "chunk", "component")
+    seats = met.join(placed, "rep").select("token", "rep", "n", "reach", "route", "chunk", "component")
     per = seats.groupBy("token", "component").agg(F.count("*").alias("c"))
     split = per.groupBy("token").agg(F.count("*").alias("components"), F.max_by("component", "c").alias("major")).where("components > 1")
     here = materialise(seats.join(split.select("token", "major"), "token"), "split")
-    visitors = here.where("component != major").select("token", F.col("rep").alias("guest"), F.col("component").alias("own"))
-    blocks = here.select("token", "route", "chunk", "component").distinct()
-    visits = visitors.join(blocks, "token").where("own != component").select("guest", "own", "route", "chunk").distinct()
+    visitors = here.where("component != major").select("token", F.col("rep").alias("guest"), F.col("component").alias("own"), "n", "reach")
+    # A block counts once for a shingle, whatever the number of components it holds.
+    blocks = here.groupBy("token", "route", "chunk").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("shortest"), F.max("n").alias("longest"), F.max("reach").alias("farthest")
+    )
+    other = (F.col("own") != F.col("low")) | (F.col("own") != F.col("high"))
+    sized = (F.col("shortest") <= F.col("reach")) & (F.col("n") <= F.col("farthest")) & (F.col("longest") * 100 >= F.col("n") * percent)
+    visits = visitors.join(blocks, "token").where(other & sized).select("guest", "own", "route", "chunk").distinct()
     visits = materialise(visits, "visits")
     parts = visits.groupBy("route", "chunk").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     guests = visits.join(parts, ["route", "chunk"]).select(
