@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizlake.llm.ngram_join import slices
+
 LETTER = regex.compile(r"\p{L}")
 #: Bytes read as one stretch; a document is as many stretches as it needs.
 STRETCH = 96
@@ -204,7 +206,7 @@ def training_rows(docs: DataFrame, key: str, text: str, lang: str, usable: Colum
 
 
 def _tag(batches: Iterator[pa.RecordBatch], model: ByteTagger | None, block: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text_")):
         texts = batch.column("text_").to_pylist()
         named, scores = ["und"] * len(texts), [0.0] * len(texts)
         some = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]

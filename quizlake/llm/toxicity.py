@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizlake.llm.ngram_join import slices
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Documents of each label that are learned from, words that become features, grades above 0.
 PER_LABEL, FEATURES, GRADES = 4000, 4096, 3
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def _grade(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text_")):
         tails = [model.exceed(t) if model else np.zeros(GRADES) for t in batch.column("text_").to_pylist()]
         names = [n for n in batch.schema.names if n != "text_"]
         yield pa.RecordBatch.from_arrays(
