@@ -40,7 +40,7 @@ from quizlake.llm.shingles import mix, sets
 from quizlake.session import materialise
 
 #: Bytes of text that are hashed at once, and texts' bytes gathered before their shingles are sent.
-SLICE, GATHER = 1_500_000, 24_000_000
+SLICE, GATHER = 500_000, 8_000_000
 #: Classes in a block of the search.
 BLOCK = 64
 #: Classes left (32 bytes each) up to which they are sent to the texts; beyond, both are shuffled.

@@ -35,10 +35,10 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     """The first n powers of a base; those of usual lengths are kept."""
     if len(_POWERS.get(base, ())) < n:
-        steps = np.full(max(n, 2_000_000), base, np.uint64)
+        steps = np.full(max(n, 600_000), base, np.uint64)
         steps[0] = 1
         powers = np.multiply.accumulate(steps)
-        if n > 2_000_000:
+        if n > 600_000:
             return powers[:n]
         _POWERS[base] = powers
     return _POWERS[base][:n]
