@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
 A text is taken apart into sentences, each normalised to its bare words. Sentences that a table knows
-become the identifiers of that table; all others vanish. The identifiers, in order, are then matched
+become the identifiers of that table; all others vanish. Sentences of standard licence texts that run
+on, or over several lines, in comments too, are found first and put on a line of their own. The identifiers, in order, are then matched
 against rules: a licence is found where the sentences of its rule follow one another. Longer rules win
 over shorter ones that they contain.
 
@@ -68,6 +69,14 @@ RULES: list[tuple[str, list[str]]] = [
     ("MPL-2.0", ["mpl-2.0-short"]),
     ("Unlicense", ["unlicense-short"]),
 ]
+# Sentences of standard texts, as they run on, with the known sentence each stands for.
+STANDARD: dict[str, str] = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "mit-notice",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
+}
+#: Known sentences of so many words run over lines in standard texts.
+LONG = 9
 #: A sentence ends at a line end, or at a stop, semicolon or exclamation mark before a blank or the end.
 SENTENCE_END = r"[.;!?]+(?:\s+|$)|\n+"
 #: A line that breaks off within a sentence and the small letter that goes on with it.
@@ -78,11 +87,25 @@ TRIGGERS = ("licen", "permission", "copyright", "warranty", "redistribution", "u
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text: small letters and digits, everything else a single blank."""
-    raw = F.split(F.lower(F.regexp_replace(text, WRAPPED, "$1 $2")), SENTENCE_END)
+    raw = F.split(F.lower(F.regexp_replace(_unwrapped(text), WRAPPED, "$1 $2")), SENTENCE_END)
     telling = F.filter(raw, lambda s: _any(s))
     return F.transform(telling, lambda s: F.trim(F.regexp_replace(s, r"[^a-z0-9]+", " ")))
 
 
+def _unwrapped(text: Column) -> Column:
+    """The text with every long known sentence, whatever stands between its words, on one line."""
+    long = {s: i for s, i in SENTENCES.items() if len(s.split()) >= LONG}
+    one_line = {i: s for s, i in long.items()}
+    out = text
+    for sentence, name in {**STANDARD, **long}.items():
+        # Between words: blanks, stops, quotes, line breaks and the marks of comments.
+        pattern = r"(?i)(?<![a-z0-9])" + "[^a-z0-9]+".join(sentence.split()) + "(?![a-z0-9])"
+        if name in ("mit-grant", "as-is") and sentence in long:
+            continue  # as they stand in SENTENCES they are the beginning of the standard sentence
+        out = F.regexp_replace(out, pattern, f"\n{one_line[name]}\n")
+    return F.when(_any(F.lower(text)), out).otherwise(text)
+
+
 def _any(sentence: Column) -> Column:
     found = F.lit(False)
     for trigger in TRIGGERS:
