@@ -87,6 +87,9 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 def _occurrences(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Counted shingles as packed columns per bucket; shingles that repeat here are settled here.
 
+    Beside its bucket a shingle is sent as half of its hash: two that agree there can only let classes
+    through that the search then parts.
+
     A row with a negative bucket carries, for classes in ``prints``, how many shingles others here share.
     """
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -95,12 +98,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Ite
     def packed() -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([t for t, _ in held])
         owners = np.concatenate([o for _, o in held])
+        if not len(tokens):
+            return
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
         first = np.append(True, tokens[1:] != tokens[:-1])
         alone = first & np.append(first[1:], True)
         classes, shared = np.unique(owners[~alone], return_counts=True)
-        settled = -1 - int(tokens[0] % np.uint64(buckets)) if len(tokens) else -1  # any partition will do
+        settled = -1 - int(tokens[0] % np.uint64(buckets))  # any partition will do
         rows = [(settled, classes.tobytes(), shared.astype(np.uint32).tobytes(), b"")]
         # What occurs once goes with its class, what repeats goes once with class 0.
         owners = np.where(alone, owners, 0)[first]
@@ -115,7 +120,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], k: int, buckets: int) -> Ite
             mine = order[cuts[b] : cuts[b + 1]]
             if len(mine):
                 used, local = np.unique(places[mine], return_inverse=True)
-                rows.append((b, names[used].tobytes(), tokens[mine].tobytes(), local.astype(wide).tobytes()))
+                rows.append((b, names[used].tobytes(), (tokens[mine] >> np.uint64(32)).astype(np.uint32).tobytes(), local.astype(wide).tobytes()))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.binary(), pa.binary(), pa.binary()])],
             ["bucket", "prints", "tokens", "places"],
@@ -148,7 +153,7 @@ def _shared(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
                 settled.append(prints)
                 counts.append(np.frombuffer(a, np.uint32).astype(np.int64))
                 continue
-            a = np.frombuffer(a, np.uint64)
+            a = np.frombuffer(a, np.uint32)
             tokens.append(a)
             owners.append(prints[np.frombuffer(b, np.uint16 if len(b) == 2 * len(a) else np.uint32)])
     if tokens:
@@ -196,8 +201,8 @@ def _token_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
             flat = tokens.view(np.int64)
             rows = np.flatnonzero(right)
             yield pa.RecordBatch.from_arrays(
-                [part.column("key_").take(pa.array(rows)), pa.array(np.diff(bounds)[rows]), pa.array([flat[bounds[i] : bounds[i + 1]] for i in rows], pa.list_(pa.int64()))],
-                ["rep", "n", "tokens"],
+                [part.column("key_").take(pa.array(rows)), pa.array(one[rows]), pa.array(np.diff(bounds)[rows]), pa.array([flat[bounds[i] : bounds[i + 1]] for i in rows], pa.list_(pa.int64()))],
+                ["rep", "one", "n", "tokens"],
             )
 
 
@@ -328,12 +333,13 @@ def _blocks(placed: DataFrame, held: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(held: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all similar classes among (rep, n, tokens)."""
+    """Links (a, b) that connect all similar classes among (rep, one, n, tokens). Classes whose key is
+    the same, from rows that repeat a key with other texts, go as two members of one name."""
     # Shingles that one class alone holds say how many of its rarest cannot be met.
-    spread = held.select("rep", "n", F.explode("tokens").alias("token"))
+    spread = held.select("rep", "one", "n", F.explode("tokens").alias("token"))
     counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     common = spread.join(counts, "token")
-    ranked = common.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"), F.sum("df").alias("known"))
+    ranked = common.groupBy("rep", "one", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"), F.sum("df").alias("known"))
     # Prefix: of n shingles from rare to frequent, all but the last ceil(threshold n) and one more.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("common"))
     rare = ranked.select(
@@ -405,10 +411,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     hits = shared.repartition("classes").mapInArrow(_summed, "one long, hits long")
     # Of n shingles at most n - ceil(threshold n) may be missing from a partner.
     may_miss = F.col("n") - F.ceil(F.col("n") * percent / 100.0)
-    left = classes.where("n > 2").join(hits, "one", "left").where(F.coalesce("hits", F.lit(0)) >= F.col("counted") - may_miss)
+    # A set can only be similar to another if one shingle more or less leaves it so.
+    left = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent).join(hits, "one", "left").where(F.coalesce("hits", F.lit(0)) >= F.col("counted") - may_miss)
     left = materialise(left.select("rep", "one", "two"), "left")
     texts = source.join(F.broadcast(left) if left.count() <= BROADCAST else left, F.col("key_") == F.col("rep")).select("key_", "text_", "one", "two")
-    held = texts.mapInArrow(lambda b: _token_rows(b, words), "rep long, n long, tokens array<long>").dropDuplicates(["rep"])
+    held = texts.mapInArrow(lambda b: _token_rows(b, words), "rep long, one long, n long, tokens array<long>").dropDuplicates(["rep", "one"])
     held = materialise(held, "held")
     links = materialise(_links(held, percent), "links")
     # Rows that repeat a key tie their classes together.

@@ -40,7 +40,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document, that of the least key, of every group of similar ones; rows without a key stay."""
+    """One document, that of the least key, of every group of similar ones; rows without a key stay.
+    Of rows that repeat a key, one stays for each of their texts."""
     found = ngram_join.materialise(ngram_join.jaccard_components(docs), "components")
     drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("drop_")).distinct()
     kept = docs.join(_sent(drop), F.col("doc_id") == F.col("drop_"), "left_anti")
@@ -48,7 +49,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     if twice.isEmpty():
         return kept
     again = F.col("doc_id") == F.col("twice_")
-    return kept.join(twice, again, "left_anti").union(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(twice, again, "left_anti").union(kept.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

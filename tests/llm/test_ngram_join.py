@@ -18,7 +18,7 @@ def shingles(text, k=5):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else (frozenset([tuple(w)]) if w else frozenset())
 
 
-def brute(pairs):
+def brute(pairs, percent=75):
     sets = [(i, shingles(t)) for i, t in pairs]
     parent = {i: i for i, _ in pairs}
 
@@ -29,7 +29,7 @@ def brute(pairs):
 
     for n, (i, a) in enumerate(sets):
         for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
     return Counter((i, len(s), find(i)) for i, s in sets)
@@ -64,6 +64,30 @@ def test_large_group_of_near_copies_is_split_and_whole(spark):
     assert result(df.coalesce(1)) == want
 
 
+def test_partitions_without_a_counted_shingle(spark):
+    blank = spark.createDataFrame(rows([(1, None), (2, "")]), SCHEMA).coalesce(1)
+    assert result(blank) == Counter([(1, 0, 1), (2, 0, 2)])
+    pairs = [(i, f"one two {i // 2}") for i in range(40)] + [(100 + i, None) for i in range(5)]
+    assert result(spark.createDataFrame(rows(pairs), SCHEMA).repartition(60)) == brute(pairs)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 74, 90])
+def test_other_thresholds_and_sets_of_few_shingles(spark, percent):
+    rng = random.Random(percent)
+    pairs = [(i, " ".join(words(i % 9, rng.randrange(5, 12), 6))) for i in range(120)]
+    pairs += [(200 + i, " ".join(words(70 + i // 6, 40)[: 5 + i % 6])) for i in range(60)]
+    assert result(spark.createDataFrame(rows(pairs), SCHEMA).repartition(5), percent=percent) == brute(pairs, percent)
+
+
+def test_both_texts_of_a_repeated_key_keep_their_links(spark):
+    a, b = words(1, 60), words(2, 60)
+    near = [edited(a, 5, 1), edited(b, 6, 1)]
+    pairs = [(5, " ".join(a)), (5, " ".join(b)), (8, " ".join(near[0])), (9, " ".join(near[1])), (12, " ".join(words(3, 60)))]
+    df = spark.createDataFrame(rows(pairs), SCHEMA)
+    for parts in (1, 4):
+        assert {(r[0], r[2]) for r in jaccard_components(df.repartition(parts)).collect()} == {(5, 5), (8, 5), (9, 5), (12, 12)}
+
+
 def test_a_repeated_key_ties_its_texts(spark):
     a, b = " ".join(words(1, 30)), " ".join(words(2, 30))
     df = spark.createDataFrame(rows([(5, a), (5, b), (3, a), (9, b)]), SCHEMA)
