@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, substring_dedup, toxicity, warc
+from quizlake.llm import ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, prefix_trie, substring_dedup, toxicity, warc
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -111,3 +111,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata and conversion records of every page."""
     made = warc.derivatives(warc.responses_of_pages(table(spark, folder, "pages")), keep=["page_id"])
     return made.drop("headers")
+
+
+@_register("op11_prefix_trie", prefix_trie.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of shared conversation prefixes."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
