@@ -336,10 +336,11 @@ def _links(held: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all similar classes among (rep, one, n, tokens). Classes whose key is
     the same, from rows that repeat a key with other texts, go as two members of one name."""
     # Shingles that one class alone holds say how many of its rarest cannot be met.
-    spread = held.select("rep", "one", "n", F.explode("tokens").alias("token"))
+    spread = held.select("one", F.explode("tokens").alias("token"))
     counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     common = spread.join(counts, "token")
-    ranked = common.groupBy("rep", "one", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"), F.sum("df").alias("known"))
+    ranked = common.groupBy("one").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"), F.sum("df").alias("known"))
+    ranked = held.select("rep", "one", "n").join(ranked, "one")
     # Prefix: of n shingles from rare to frequent, all but the last ceil(threshold n) and one more.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 1 - (F.col("n") - F.size("common"))
     rare = ranked.select(
