@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, prefix_trie, substring_dedup, toxicity, warc
+from quizlake.llm import bag_search, ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, prefix_trie, substring_dedup, toxicity, warc
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -117,3 +117,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Every node of the trie of shared conversation prefixes."""
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@_register("op13_bag_search", bag_search.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return bag_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

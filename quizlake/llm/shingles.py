@@ -53,10 +53,11 @@ def text_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch's bytes: hash, first byte and end of every word, and the first word of every row."""
+def words(data: np.ndarray, bounds: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's bytes: hash, first byte and end of every word, and the first word of every row.
+    ``gap`` tells for every byte whether it parts words."""
     n = len(data)
-    inner = ~_GAP[data]
+    inner = ~gap[data]
     begins, finishes = inner.copy(), inner.copy()
     begins[1:] &= ~inner[:-1]
     finishes[:-1] &= ~inner[1:]
