@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import bag_search, ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, prefix_trie, substring_dedup, toxicity, warc
+from quizlake.llm import bag_search, ball_tree, bpe, hnsw, langid, licenses, ngram_join, packing, prefix_trie, secret_scan, substring_dedup, toxicity, warc
 from quizlake.llm.tables import table
 from quizlake.plans.registry import Plan, Query
 
@@ -123,3 +123,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return bag_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_register("op12_secret_scan", secret_scan.oracle())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.digest_columns(secret_scan.scan(table(spark, folder, "documents")))
