@@ -1,11 +1,11 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 A task reads its documents in order. Whatever fills whole windows is cut off at once; the remainders
-are collected until they amount to a round of windows, cut into blocks of a limited size, and dealt
-to the windows by differencing: every block starts as a partial partition with one loaded window, and
-the two partial partitions with the largest imbalances are merged, heavy windows of one onto light
-windows of the other, until one is left. Where a window exceeds its capacity the round is dealt anew
-to one window more. Rounds never leave their task: nothing is shuffled, nothing grows with the input
+are collected whole until they amount to a round of windows, and dealt to the windows by differencing:
+every remainder starts as a partial partition with one loaded window, and the two partial partitions
+with the largest imbalances are merged, heavy windows of one onto light windows of the other, until one
+is left. The windows are nearly equal then; what some hold beyond their capacity is cut off and laid
+into the room of others, and where there is none the round is dealt anew to one window more. Rounds never leave their task: nothing is shuffled, nothing grows with the input
 but the number of rounds.
 
 Defined results: a null or empty text is a document of its end id alone; texts are read whole and
@@ -34,10 +34,8 @@ from quizlake.llm.tables import vocabulary_path
 
 #: Fixed value: the split pattern of byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Windows in a round: more make a round more even and its differencing slower.
+#: Windows in a round: more make a round more even, its differencing slower.
 ROUND = 64
-#: Remainders are cut to blocks of at most this many ids before they are dealt.
-BLOCK = 256
 #: Part of a round's capacity that is left free, so that few rounds need a window more.
 SLACK = 1 / 128
 #: Pieces of text remembered by a worker before it starts afresh: bounds memory, not the result.
@@ -116,14 +114,44 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return heap[0][3] if heap else [[] for _ in range(windows)]
 
 
-def fill(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Deal sizes to as few windows as differencing can, none above the capacity."""
+def level(dealt: list[list[int]], sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]] | None:
+    """Windows of parts (number, start, length): what a window holds beyond the capacity is cut from its
+    least sufficient size, once a window, and laid into the others' room, widest first. None where one
+    cut is not enough or there is no room."""
+    windows = [[(i, 0, sizes[i]) for i in window] for window in dealt]
+    room, loose = [], []
+    for w, window in enumerate(windows):
+        over = sum(part[2] for part in window) - capacity
+        if over < 0:
+            room.append((over, w))
+        elif over:
+            part = min((p for p in window if p[2] >= over), key=lambda p: p[2], default=None)
+            if part is None:
+                return None
+            window.remove(part)
+            if over < part[2]:
+                window.append((part[0], 0, part[2] - over))
+            loose.append((part[0], part[2] - over, over))
+    heapq.heapify(room)
+    for number, start, size in sorted(loose, key=lambda p: -p[2]):
+        while size:
+            if not room:
+                return None
+            free, w = heapq.heappop(room)
+            laid = min(size, -free)
+            windows[w].append((number, start, laid))
+            start, size = start + laid, size - laid
+            if -free > laid:
+                heapq.heappush(room, (free + laid, w))
+    return windows
+
+
+def fill(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Deal sizes to as few windows as they need, none above the capacity: parts (number, start, length)."""
     windows = max(1, -(-sum(sizes) // capacity))
-    while True:
-        dealt = difference(sizes, windows)
-        if all(sum(sizes[i] for i in window) <= capacity for window in dealt):
-            return [w for w in dealt if w]
+    while (found := level(difference(sizes, windows), sizes, capacity)) is None:
         windows += 1
+    return [w for w in found if w]
 
 
 class _Task:
@@ -144,8 +172,7 @@ class _Task:
             yield self.whole(row, i * self.capacity)
         start, rest = full * self.capacity, size % self.capacity
         if rest:
-            cuts = [*range(start, size, min(BLOCK, self.capacity)), size]
-            self.blocks += [(row, a, b - a) for a, b in zip(cuts, cuts[1:])]
+            self.blocks.append((row, start, rest))
             self.held += rest
         if self.held >= ROUND * self.capacity * (1 - SLACK):
             yield from self.deal()
@@ -166,25 +193,12 @@ class _Task:
         self.held = sum(b[2] for b in self.blocks)
         for window in fill([b[2] for b in blocks], self.capacity):
             offset = 0
-            for row, start, size in self._joined(blocks, window):
-                yield row, start, size, self.next, offset
+            for number, start, size in sorted(window):
+                row, first, _ = blocks[number]
+                yield row, first + start, size, self.next, offset
                 offset += size
             self.next += 1
 
-    @staticmethod
-    def _joined(blocks: list[tuple], window: list[int]) -> Iterator[tuple]:
-        """The blocks of a window in order of arrival, neighbours of one text joined again."""
-        last = None
-        for row, start, size in (blocks[i] for i in sorted(window)):
-            if last and last[0] is row and last[1] + last[2] == start:
-                last = (row, last[1], last[2] + size)
-            else:
-                if last:
-                    yield last
-                last = (row, start, size)
-        if last:
-            yield last
-
 
 _PIECE = pa.schema([("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
