@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 
 from quizlake.llm import vectors as V
 
+#: Lengths within one graph differ by this factor at most.
+BAND = 4.0
 #: Neighbours a node is given, beam while building, beam while searching, nodes entered at once.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, BATCH = 16, 96, 128, 128
 #: Nodes a query opens in one step.
@@ -145,42 +147,65 @@ def build_graph(points: np.ndarray, seed: int = 11) -> tuple[np.ndarray, list[np
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
-    """Flat arrays of a shard: members by node, original vectors, lifted points, entry and layers."""
+    """Flat arrays of a shard: members by node, bounds, original vectors, and per band of lengths the
+    longest length, the band's nodes, lifted points, entry and layers.
+
+    Points are lifted to one length, which turns inner products into nearness. One far longer vector
+    would take the others' differences with it, so vectors go into bands of lengths within BAND.
+    """
     distinct, node = np.unique(vectors, axis=0, return_inverse=True)
     order = np.lexsort((ids, node.ravel()))
     bounds = np.searchsorted(node.ravel()[order], np.arange(len(distinct) + 1))
-    largest = np.abs(distinct).max()
-    scaled = distinct / largest
-    squares = (scaled**2).sum(axis=1)
-    lift = np.sqrt(np.maximum(squares.max() - squares, 0))
-    points = np.column_stack([scaled, lift]).astype(np.float32)
-    entry, layers = build_graph(points)
-    return V.pack_arrays(ids[order], bounds, distinct, points, entry, *[layer.astype(np.int32) for layer in layers])
+    largest = np.abs(distinct).max(axis=1)
+    lengths = np.sqrt(((distinct / largest[:, None]) ** 2).sum(axis=1)) * largest
+    band = np.floor(np.log(lengths.max() / lengths) / np.log(BAND)).astype(np.int64)
+    parts, sizes = [], []
+    for b in np.unique(band).tolist():
+        mine = np.flatnonzero(band == b)
+        top = lengths[mine].max()
+        scaled = distinct[mine] / top
+        lift = np.sqrt(np.maximum(1 - (scaled**2).sum(axis=1), 0))
+        points = np.column_stack([scaled, lift]).astype(np.float32)
+        entry, layers = build_graph(points)
+        arrays = [np.array([top]), mine, points, entry, *[layer.astype(np.int32) for layer in layers]]
+        parts += arrays
+        sizes.append(len(arrays))
+    return V.pack_arrays(ids[order], bounds, distinct, np.array(sizes), *parts)
 
 
 def search(graph: list[np.ndarray], asked: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
-    """(query id, vector id, inner product) of the k best that the beam found for each query."""
-    ids, bounds, distinct, points, entry = graph[:5]
-    flat = queries / np.sqrt((queries**2).sum(axis=1, keepdims=True))
-    flat = np.column_stack([flat, np.zeros(len(flat))]).astype(np.float32)
-    at = np.full(len(queries), int(entry[0]))
-    for layer in graph[5:-1]:
-        at = beam_search(points, layer, flat, at, 1)[0][:, 0]
-    nodes, _ = beam_search(points, graph[-1], flat, at, max(beam, k + 1))
-    out = []
-    for q, vector, row in zip(asked.tolist(), queries, nodes):
-        row = row[row >= 0]
-        scores = (distinct[row] * vector).sum(axis=1)
-        rows: list[tuple[float, int]] = []
-        last = -np.inf
-        for i in np.argsort(-scores, kind="stable").tolist():
-            if len(rows) >= k and scores[i] < last:
-                break
-            members = [m for m in ids[bounds[row[i]] : bounds[row[i] + 1]][: k + 1].tolist() if m != q]
-            rows += [(-float(scores[i]), m) for m in members]
-            last = scores[i]
-        out += [(q, m, -s) for s, m in sorted(rows)[:k]]
-    return out
+    """(query id, vector id, inner product) of the k best that the beam found for each query. A band
+    is searched for the queries whose k-th score its longest vector could still reach."""
+    ids, bounds, distinct, sizes = graph[:4]
+    largest = np.abs(queries).max(axis=1)
+    norms = np.sqrt(((queries / largest[:, None]) ** 2).sum(axis=1)) * largest
+    flat = np.column_stack([queries / norms[:, None], np.zeros(len(queries))]).astype(np.float32)
+    best: list[list[tuple[float, int]]] = [[] for _ in asked]
+    start = 4
+    for size in sizes.tolist():
+        top, mine, points, entry, *layers = graph[start : start + size]
+        start += size
+        open_ = np.array([len(rows) < k or -rows[-1][0] <= float(top[0]) * norm * (1 + 1e-9) for rows, norm in zip(best, norms.tolist())])
+        some = np.flatnonzero(open_)
+        if not len(some):
+            break
+        at = np.full(len(some), int(entry[0]))
+        for layer in layers[:-1]:
+            at = beam_search(points, layer, flat[some], at, 1)[0][:, 0]
+        nodes, _ = beam_search(points, layers[-1], flat[some], at, max(beam, k + 1))
+        for q, row in zip(some.tolist(), nodes):
+            row = mine[row[row >= 0]]
+            scores = (distinct[row] * queries[q]).sum(axis=1)
+            rows: list[tuple[float, int]] = []
+            last = -np.inf
+            for i in np.argsort(-scores, kind="stable").tolist():
+                if len(rows) >= k and scores[i] < last:
+                    break
+                members = [m for m in ids[bounds[row[i]] : bounds[row[i] + 1]][: k + 1].tolist() if m != asked[q]]
+                rows += [(-float(scores[i]), m) for m in members]
+                last = scores[i]
+            best[q] = sorted(best[q] + rows)[:k]
+    return [(q, m, -s) for q, rows in zip(asked.tolist(), best) for s, m in rows]
 
 
 def _search_rows(batches: Iterator[pa.RecordBatch], k: int, beam: int) -> Iterator[pa.RecordBatch]:

@@ -75,6 +75,35 @@ def test_recall_in_one_large_shard():
     assert np.mean(recall) >= 0.9
 
 
+@pytest.mark.parametrize("longer,how_many", [(1, 1), (100, 1), (10_000, 1), (1e6, 1), (1e6, 200), (30, 1500)])
+def test_recall_beside_longer_vectors(longer, how_many):
+    rng = np.random.default_rng(int(longer) + how_many)
+    centres = rng.normal(size=(40, 32))
+    points = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 32))
+    points[rng.choice(3000, how_many, replace=False)] *= longer
+    asked = np.arange(0, 3000, 20)
+    found = {}
+    for q, i, s in hnsw.search(V.unpack_arrays(hnsw.build(np.arange(3000), points)), asked, points[asked], 20, hnsw.SEARCH_BEAM):
+        found.setdefault(q, set()).add(i)
+    scores = points[asked] @ points.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist())]) >= 0.9
+
+
+def test_recall_of_lengths_over_six_powers():
+    rng = np.random.default_rng(9)
+    points = rng.normal(size=(3000, 24)) * 10 ** rng.uniform(0, 6, (3000, 1))
+    asked = np.arange(0, 3000, 30)
+    found = {}
+    for q, i, s in hnsw.search(V.unpack_arrays(hnsw.build(np.arange(3000), points)), asked, points[asked], 20, hnsw.SEARCH_BEAM):
+        found.setdefault(q, set()).add(i)
+    scores = points[asked] @ points.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    assert np.mean([len(found[q] & set(w)) / 20 for q, w in zip(asked.tolist(), want.tolist())]) >= 0.9
+
+
 def test_hnsw_of_odd_vectors(odd_vectors):
     want = exact(odd_vectors, 7, lambda a, b: float((a * b).sum()), False)
     got = results(hnsw.nearest(odd_vectors, F.col("id") % 20 == 0, k=7))
