@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.llm.ngram_join import slices
@@ -30,7 +30,7 @@ from quizlake.llm.ngram_join import slices
 LETTER = regex.compile(r"\p{L}")
 #: Bytes read as one stretch; a document is as many stretches as it needs.
 STRETCH = 96
-#: Training texts per language and bytes per text: the documented bound on what is fitted.
+#: Training texts per language and bytes of each, from a hashed place: the documented bound on what is fitted.
 PER_LANGUAGE, TRAINING_BYTES = 400, 4 * STRETCH
 
 
@@ -158,7 +158,7 @@ _COUNTS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)])
 
 
 def train(texts: list[str], labels: list[str], hidden: int = 12, epochs: int = 6, seed: int = 7) -> ByteTagger:
-    """Backpropagation through time with Adam over the first bytes of the given texts."""
+    """Backpropagation through time with Adam over the given texts, TRAINING_BYTES of each at most."""
     languages = sorted(set(labels))
     model = ByteTagger.fresh(languages, hidden, seed)
     steps, counts, owner = stretches([t.encode()[:TRAINING_BYTES].decode(errors="ignore") for t in texts])
@@ -183,29 +183,34 @@ def train(texts: list[str], labels: list[str], hidden: int = 12, epochs: int = 6
     return model
 
 
+def _training_stretch(key: Column, text: Column) -> Column:
+    """TRAINING_BYTES characters from a hashed place of the whole text; where these hold no letter,
+    those from the text's first letter on."""
+    spare = F.greatest(F.length(text) - TRAINING_BYTES, F.lit(0))
+    placed = F.substr(text, F.pmod(F.xxhash64(F.lit("place"), key, F.length(text)), spare + 1).cast("int") + 1, F.lit(TRAINING_BYTES))
+    return F.when(placed.rlike(r"\p{L}"), placed).otherwise(F.substr(text, F.regexp_instr(text, F.lit(r"\p{L}")), F.lit(TRAINING_BYTES)))
+
+
 def training_rows(docs: DataFrame, key: str, text: str, lang: str, usable: Column) -> list[tuple[str, str]]:
-    """About PER_LANGUAGE labelled texts of each language, never more: (language, start of text).
+    """About PER_LANGUAGE labelled texts of each language, never more: (language, a stretch of the text).
 
-    Counts per language give the share to draw; a hash of the key draws it. No row is moved but
-    those drawn.
+    Counts per language give the share to draw; a hash of key and text draws it, and the lowest hashes
+    stay. No row is moved but those drawn.
     """
-    labelled = docs.where(usable & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang_"),
-        F.substring(F.col(text), 1, TRAINING_BYTES).alias("text_"),
-        F.conv(F.substring(F.md5(F.concat(F.lit("langid:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double").alias("draw_"),
-    )
+    labelled = docs.where(usable & F.col(lang).isNotNull()).select(F.col(lang).alias("lang_"), F.col(key).cast("string").alias("key_"), F.col(text).alias("text_"))
     counts = {r["lang_"]: r["count"] for r in labelled.groupBy("lang_").count().collect()}
     if not counts:
         return []
+    drawn = F.md5(F.concat(F.lit("langid:"), F.coalesce("key_", F.lit("")), F.lit(":"), F.xxhash64("text_").cast("string")))
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, 1.5 * PER_LANGUAGE / n * 2.0**32)])
-    drawn = labelled.where((F.col("draw_") < share[F.col("lang_")]) & F.col("text_").rlike(r"\p{L}")).collect()
-    found: dict[str, list] = {}
-    for row in sorted(drawn, key=lambda r: (r["lang_"], r["draw_"], r["text_"])):
-        found.setdefault(row["lang_"], []).append(row["text_"])
-    return [(name, text) for name, texts in found.items() for text in texts[:PER_LANGUAGE]]
+    rows = labelled.withColumn("draw_", F.conv(F.substring(drawn, 1, 8), 16, 10).cast("double")).where(F.col("draw_") < share[F.col("lang_")])
+    rows = rows.where(F.col("text_").rlike(r"\p{L}")).select("lang_", "draw_", _training_stretch(F.col("key_"), F.col("text_")).alias("text_"))
+    lowest = Window.partitionBy("lang_").orderBy("draw_", "text_")
+    kept = rows.withColumn("r_", F.row_number().over(lowest)).where(F.col("r_") <= PER_LANGUAGE).collect()
+    return [(r["lang_"], r["text_"]) for r in sorted(kept, key=lambda r: (r["lang_"], r["r_"]))]
 
 
-def _tag(batches: Iterator[pa.RecordBatch], model: ByteTagger | None, block: int) -> Iterator[pa.RecordBatch]:
+def _tag(batches: Iterator[pa.RecordBatch], model: ByteTagger | None, block: int, kept: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, "text_")):
         texts = batch.column("text_").to_pylist()
         named, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -220,8 +225,8 @@ def _tag(batches: Iterator[pa.RecordBatch], model: ByteTagger | None, block: int
             for i, (name, score) in zip(taken, tag_texts(model, [texts[i] for i in taken], block)):
                 named[i], scores[i] = name, score
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(n) for n in batch.schema.names if n != "text_"], pa.array(named, pa.string()), pa.array(scores, pa.float64())],
-            [*[n for n in batch.schema.names if n != "text_"], "lang_pred", "score"],
+            [*[batch.column(n) for n in kept], pa.array(named, pa.string()), pa.array(scores, pa.float64())],
+            [*kept, "lang_pred", "score"],
         )
 
 
@@ -254,9 +259,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return train([t for _, t in rows], [name for name, _ in rows]) if rows else None
 
 
-def identify(docs: DataFrame, model: ByteTagger | None, text: str = "text", block: int = 400_000) -> DataFrame:
-    """``docs`` without its text column, plus lang_pred and score. Column ``text`` alone is read."""
+def identify(docs: DataFrame, model: ByteTagger | None, text: str = "text", block: int = 400_000, keep_text: bool = False) -> DataFrame:
+    """``docs`` without its text column (or with it, as ``text_``), plus lang_pred and score. Column
+    ``text`` alone is read."""
     rest = [c for c in docs.columns if c != text]
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*rest).dtypes)
-    schema = f"{fields}, lang_pred string, score double" if fields else "lang_pred string, score double"
-    return docs.select(*rest, F.col(text).alias("text_")).mapInArrow(lambda b: _tag(b, model, block), schema)
+    rows = docs.select(*rest, F.col(text).alias("text_"))
+    kept = rows.columns if keep_text else rest
+    fields = [f"`{n}` {t}" for n, t in rows.select(*kept).dtypes]
+    return rows.mapInArrow(lambda b: _tag(b, model, block, kept), ", ".join([*fields, "lang_pred string", "score double"]))

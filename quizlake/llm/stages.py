@@ -19,8 +19,14 @@ BROADCAST = 2_000_000
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """Whole rows beside their text, so that no column of theirs can clash."""
-    return docs.select(F.struct("*").alias("row"), "text")
+    """The other columns beside the text, so that none of theirs can clash and the text goes once."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row") if rest else F.lit(None).cast("int").alias("row"), "text")
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again."""
+    return rows.select(*[F.col("text_").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _sent(keys: DataFrame) -> DataFrame:
@@ -29,14 +35,14 @@ def _sent(keys: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in one of the languages of the ``lang`` column, by their text."""
-    named = langid.identify(_packed(docs), langid.fit(docs))
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    named = langid.identify(_packed(docs), langid.fit(docs), keep_text=True)
+    return _unpacked(named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of grade 0; the grades are learned from the ``labels`` of the documents at hand."""
-    graded = toxicity.grade(_packed(docs), toxicity.fit(docs, table(spark, folder, "labels")))
-    return graded.where("grade = 0").select("row.*")
+    graded = toxicity.grade(_packed(docs), toxicity.fit(docs, table(spark, folder, "labels")), keep_text=True)
+    return _unpacked(graded.where("grade = 0"), docs)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

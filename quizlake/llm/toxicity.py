@@ -139,7 +139,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch], words: dict[str, int]) -> I
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> OrdinalModel | None:
     """A model from the labelled documents, None unless both labels occur."""
-    marks = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("mark_"), F.col(toxic).cast("int").alias("toxic_"))
+    marks = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("mark_")).agg(F.max(F.col(toxic).cast("int")).alias("toxic_"))
     totals = {r["toxic_"]: r["count"] for r in marks.groupBy("toxic_").count().collect()}
     if len(totals) < 2:
         return None
@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = F.when(F.col("toxic_") == 1, PER_LABEL / totals[1]).otherwise(PER_LABEL / totals[0])
     drawn = marks.where(draw < share)
     # About PER_LABEL rows of either label, whatever the table's size: small enough to send along.
-    sample = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(F.broadcast(drawn), F.col("key_") == F.col("mark_")).select("text_", "toxic_")
+    sample = docs.select(F.col(key).alias("key_"), F.col(text).alias("text_")).join(F.broadcast(drawn), F.col("key_") == F.col("mark_"))
+    sample = sample.groupBy("key_", "toxic_").agg(F.min("text_").alias("text_")).select("text_", "toxic_")
     sizes = drawn.groupBy("toxic_").count().collect()
     n = {r["toxic_"]: r["count"] for r in sizes}
     if len(n) < 2:
@@ -172,10 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return OrdinalModel(words, weights, thresholds)
 
 
-def _grade(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None) -> Iterator[pa.RecordBatch]:
+def _grade(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole, "text_")):
         tails = [model.exceed(t) if model else np.zeros(GRADES) for t in batch.column("text_").to_pylist()]
-        names = [n for n in batch.schema.names if n != "text_"]
         yield pa.RecordBatch.from_arrays(
             [
                 *[batch.column(n) for n in names],
@@ -187,8 +187,11 @@ def _grade(batches: Iterator[pa.RecordBatch], model: OrdinalModel | None) -> Ite
         )
 
 
-def grade(docs: DataFrame, model: OrdinalModel | None, text: str = "text") -> DataFrame:
-    """``docs`` without its text column, plus grade (0 to 3), expected_severity and p_toxic."""
+def grade(docs: DataFrame, model: OrdinalModel | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` without its text column (or with it, as ``text_``), plus grade (0 to 3),
+    expected_severity and p_toxic."""
     rest = [c for c in docs.columns if c != text]
-    fields = "".join(f"`{n}` {t}, " for n, t in docs.select(*rest).dtypes)
-    return docs.select(*rest, F.col(text).alias("text_")).mapInArrow(lambda b: _grade(b, model), f"{fields}grade int, expected_severity double, p_toxic double")
+    rows = docs.select(*rest, F.col(text).alias("text_"))
+    kept = rows.columns if keep_text else rest
+    fields = [f"`{n}` {t}" for n, t in rows.select(*kept).dtypes]
+    return rows.mapInArrow(lambda b: _grade(b, model, kept), ", ".join([*fields, "grade int, expected_severity double, p_toxic double"]))

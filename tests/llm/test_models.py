@@ -1,5 +1,7 @@
 """Language identification and toxicity: gradients, oddities and held-out accuracy."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +119,21 @@ def test_toxicity_of_held_out_documents(spark):
     graded = toxicity.grade(docs.select("doc_id", "text"), toxicity.fit(docs, labels.where(~held))).join(labels.where(held), "doc_id")
     shares = {r["toxic"]: r["flagged"] for r in graded.groupBy("toxic").agg(F.avg((F.col("grade") > 0).cast("int")).alias("flagged")).collect()}
     assert shares[1] >= 0.75 and shares[0] <= 0.01
+
+
+def test_languages_whose_texts_begin_with_numbers_are_learned(spark):
+    rng = random.Random(4)
+    numbers = " ".join(str(rng.randrange(10**6)) for _ in range(100))[:600]
+    german = [" ".join(rng.choice(["und", "für", "straße", "nicht", "über", "wenn"]) for _ in range(60)) for _ in range(120)]
+    english = [" ".join(rng.choice(["the", "which", "though", "water", "should", "and"]) for _ in range(60)) for _ in range(120)]
+    rows = [(i, f"{numbers} {t}", "de") for i, t in enumerate(german)] + [(500 + i, f"{numbers} {t}", "en") for i, t in enumerate(english)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = langid.training_rows(docs, "doc_id", "text", "lang", F.lit(True))
+    assert {name for name, _ in drawn} == {"de", "en"} and len(drawn) > 150
+    named = langid.identify(docs.select("doc_id", "lang", "text"), langid.fit(docs)).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in named) > 0.95 * len(named)
+
+
+def test_rows_that_repeat_do_not_widen_the_training_sample(spark):
+    docs = spark.createDataFrame([(1, "the same words again", "en")] * 3000 + [(2, "und noch einmal", "de")], "doc_id long, text string, lang string")
+    assert len(langid.training_rows(docs, "doc_id", "text", "lang", F.lit(True))) <= 2 * langid.PER_LANGUAGE
