@@ -30,5 +30,6 @@ def score_table(table: ResultTable, by: list[Column], reference: str = "correct"
 
 
 def write_score_sheet(sheet: DataFrame, path: str) -> None:
-    """A score sheet as one CSV with a header; keep ``path`` outside the folders of result files."""
-    sheet.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A score sheet as CSV with headers, in as many files as Spark makes of it. Readers of result files
+    set its files aside if ``path`` lies among theirs."""
+    sheet.write.mode("overwrite").csv(path, header=True)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.functions import extract, runnames
+from quizlake.functions.options import options_to_list_text
 from quizlake.operators import items as prep
 from quizlake.operators import leaderboard as board
 from quizlake.operators import scoring
 from quizlake.operators.joins import attach, missing_runs, pending
-from quizlake.operators.rescore import reextract, score_table
+from quizlake.operators.rescore import reextract, score_table, write_score_sheet
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
@@ -48,13 +49,17 @@ def _referenced(items: DataFrame) -> DataFrame:
     return items.withColumn("correct", F.when(F.col("item_id") % 37 != 0, F.col("correct")))
 
 
-def _written_runs(spark: SparkSession, folder: str) -> str:
+#: Ends a record in files that Spark may split.
+_SEPARATOR = "\x1e"
+
+
+def _written_runs(spark: SparkSession, folder: str, record_separator: str | None = None) -> str:
     path = scratch_path(spark, "runs-csv")
     items = _referenced(fx.mcq(spark, folder)).select("item_id", "question", "options", "correct")
     records = attach(fx.responses(spark, folder), items, "item_id", "left").select(
         "run", "question", "options", "correct", F.col("response").alias("llm_answer")
     )
-    run_csv.write_run_csv(records, path)
+    run_csv.write_run_csv(records, path, record_separator)
     return path
 
 
@@ -75,7 +80,8 @@ def _written_runs(spark: SparkSession, folder: str) -> str:
 )
 def csv_runs_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Records out to CSV, a folder per run, read back and scored."""
-    rows = run_csv.read_run_csv(spark, _written_runs(spark, folder), pattern="*.csv")
+    path = _written_runs(spark, folder, _SEPARATOR)
+    rows = run_csv.read_run_csv(spark, path, "*.csv", _SEPARATOR)
     graded = rows.select(
         "run",
         "correct",
@@ -92,24 +98,101 @@ def csv_runs_scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Every item as a record of a file that was written badly: a field too few, two too many, or as it should be.
+_TORN = """
+    SELECT item_id % 3 AS shape, correct FROM referenced"""
+
+
+def _folder_of_all_kinds(spark: SparkSession, folder: str) -> str:
+    """Result files, and beside them a torn one, a score sheet, a header alone and an empty file."""
+    path = _written_runs(spark, folder)
+    items = _referenced(fx.mcq(spark, folder))
+    head = F.lit("question,options,correct,llm_answer\n")
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("question", "text", "correct")]
+    torn = items.withColumn("text", options_to_list_text(F.col("options"))).withColumn("correct", F.coalesce("correct", F.lit("")))
+    answer = F.concat(F.lit('"Answer: '), F.col("correct"), F.lit('"'))
+    shape = F.when(F.col("item_id") % 3 == 0, F.lit("")).when(F.col("item_id") % 3 == 1, F.concat(F.lit(","), answer, F.lit(',more,"a, b"')))
+    line = F.concat(head, F.concat_ws(",", *quoted), F.coalesce(shape, F.concat(F.lit(","), answer)))
+    torn.select(line.alias("value")).write.text(f"{path}/run=torn")
+    sheet = scoring.score_runs(fx.responses(spark, folder), items, by=["run"])
+    write_score_sheet(sheet, f"{path}/run=sheet")
+    items.limit(0).select("question", F.lit("").alias("options"), "correct", F.lit("").alias("llm_answer")).write.csv(f"{path}/run=none", header=True)
+    items.limit(0).select("question").write.text(f"{path}/run=blank")
+    return path
+
+
 @register(
     "csv_file_status",
     ov.query(
         """
-        SELECT 'ok' AS status, count(*) AS n,
-               count(*) FILTER (WHERE response IS NULL) AS blank,
-               count(*) FILTER (WHERE correct IS NULL) AS no_reference
-        FROM responses LEFT JOIN referenced USING (item_id)""",
+        SELECT 'ok' AS status, n + fit AS n, blank, no_reference + fit_unknown AS no_reference, short, long
+        FROM (SELECT count(*) AS n, count(*) FILTER (WHERE response IS NULL) AS blank, count(*) FILTER (WHERE correct IS NULL) AS no_reference
+              FROM responses LEFT JOIN referenced USING (item_id)),
+             (SELECT count(*) FILTER (WHERE shape = 2) AS fit, count(*) FILTER (WHERE shape = 2 AND correct IS NULL) AS fit_unknown,
+                     count(*) FILTER (WHERE shape = 0) AS short, count(*) FILTER (WHERE shape = 1) AS long FROM torn_items)
+        UNION ALL SELECT 'no_rows', 0, NULL, NULL, NULL, NULL
+        UNION ALL SELECT 'empty_file', 0, NULL, NULL, NULL, NULL
+        UNION ALL SELECT 'bad_columns', NULL, NULL, NULL, NULL, NULL""",
         "mcq",
         "responses",
         referenced=_REFERENCED,
+        torn_items=_TORN,
     ),
 )
 def csv_file_status(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per file status; file names differ from run to run, so files are summed up."""
-    files = run_csv.run_file_status(spark, _written_runs(spark, folder))
+    files = run_csv.run_file_status(spark, _folder_of_all_kinds(spark, folder))
+    # A sheet has a header per part file, and how many these are is Spark's choice.
+    files = files.withColumn("n", F.when(F.col("status") != "bad_columns", F.col("n")))
     return files.groupBy("status").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("n", "blank", "no_reference")]
+        *[F.sum(c).cast("bigint").alias(c) for c in ("n", "blank", "no_reference", "short", "long")]
+    )
+
+
+@register(
+    "csv_quarantine",
+    ov.query(
+        """
+        SELECT CASE shape WHEN 0 THEN 'short_record' ELSE 'long_record' END AS fault, count(*) AS n
+        FROM torn_items WHERE shape < 2 GROUP BY 1
+        UNION ALL SELECT 'foreign_header', count(DISTINCT run) + 1 FROM responses""",
+        "mcq",
+        "responses",
+        referenced=_REFERENCED,
+        torn_items=_TORN,
+    ),
+)
+def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """Records set aside, by fault; the other files' records are not among them."""
+    files = run_csv.RunFiles.scan(spark, _folder_of_all_kinds(spark, folder), "*.csv")
+    # The sheet's header counts once, however many part files repeat it.
+    foreign = F.col("fault") == "foreign_header"
+    counts = files.quarantine().groupBy("fault").agg(F.count("*").alias("n"), F.count_distinct(F.when(foreign, F.col("record"))).alias("sheet"))
+    return counts.select("fault", F.when(foreign, F.col("sheet")).otherwise(F.col("n")).alias("n"))
+
+
+@register(
+    "runs_rewritten",
+    ov.query(
+        f"""
+        SELECT run, count(*) AS n, count(pred) AS answered, CAST(sum(length(reply)) AS BIGINT) AS characters
+        FROM (SELECT run, reply, {ov.last_letter('reply')} AS pred
+              FROM (SELECT run, CASE WHEN run = 'run_o' THEN response || ' Answer: C' ELSE response END AS reply FROM responses))
+        GROUP BY run""",
+        "responses",
+    ),
+)
+def runs_rewritten(spark: SparkSession, folder: str) -> DataFrame:
+    """All runs written twice and one of them a third time with other replies: each stands once, as last written."""
+    path = scratch_path(spark, "runs")
+    replies = fx.responses(spark, folder).select("run", "item_id", "response")
+    for _ in range(2):
+        tables.write_responses(replies, path)
+    again = replies.where("run = 'run_o'").withColumn("response", F.concat("response", F.lit(" Answer: C")))
+    tables.write_responses(again, path)
+    rows = tables.read_table(spark, path).withColumn("pred", extract.last_letter(F.col("response")))
+    return rows.groupBy("run").agg(
+        F.count("*").alias("n"), F.count("pred").alias("answered"), F.sum(F.length("response")).cast("bigint").alias("characters")
     )
 
 
@@ -174,7 +257,7 @@ def result_table_rescored(spark: SparkSession, folder: str) -> DataFrame:
         f"""
         SELECT shots, run, count(*) AS n, count(*) FILTER (WHERE correct IS NULL) AS no_reference,
                round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE correct IS NOT NULL), 6) AS em
-        FROM (SELECT *, {ov.last_letter_after('response', 'n_shot')} AS pred FROM grid_responses WHERE item_id % 4 = 0)
+        FROM (SELECT *, {ov.last_letter_after('response', 'n_shot')} AS pred FROM grid_responses)
              LEFT JOIN referenced USING (item_id)
         GROUP BY shots, run""",
         "mcq",
@@ -186,12 +269,11 @@ def csv_grid_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Result files in a tree of folders, the shot setting being a folder, read and scored at once."""
     path = scratch_path(spark, "grid-csv")
     items = _referenced(fx.mcq(spark, folder)).select("item_id", "question", "options", "correct")
-    grid = fx.grid_responses(spark, folder).where("item_id % 4 = 0")
-    records = attach(grid, items, "item_id", "left").select(
+    records = attach(fx.grid_responses(spark, folder), items, "item_id", "left").select(
         "shots", "run", "question", "options", "correct", F.col("response").alias("llm_answer")
     )
-    run_csv.write_run_csv(records, path, record_separator="\x1e", above=["shots"])
-    rows = run_csv.read_run_csv_tree(spark, path, "*.csv", record_separator="\x1e")
+    run_csv.write_run_csv(records, path, record_separator=_SEPARATOR, above=["shots"], few_files=True)
+    rows = run_csv.read_run_csv_tree(spark, path, "*.csv", record_separator=_SEPARATOR)
     setting = F.element_at(F.split(F.col("folders")[0], "="), 2)
     run = F.url_decode(F.element_at(F.split(F.col("folders")[1], "="), 2))
     shots = F.when(setting == "zero_shot", 0).otherwise(1)

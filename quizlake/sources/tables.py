@@ -31,9 +31,16 @@ def read_split(
     return df.where(wanted)
 
 
-def write_responses(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Responses laid out by run."""
-    df.write.mode(mode).partitionBy("run").parquet(path)
+def write_responses(df: DataFrame, path: str, mode: str = "replace") -> None:
+    """Responses laid out by run. Writing a run again replaces its rows and leaves other runs alone;
+    ``mode="append"`` adds them instead. ``df`` must not be read from ``path``."""
+    if mode not in ("replace", "append"):
+        raise ValueError("mode must be 'replace' or 'append'")
+    writer = df.write.partitionBy("run")
+    if mode == "append":
+        writer.mode("append").parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_database_table(

@@ -187,6 +187,62 @@ def test_columns_are_pruned(spark, folder):
 def test_responses_by_run(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "run string, item_id long")
     path = str(tmp_path / "r")
-    tables.write_responses(df, path)
-    tables.write_responses(df, path)
+    for _ in range(2):
+        tables.write_responses(df, path)
+    tables.write_responses(df.where("run = 'a'").withColumn("item_id", F.lit(7).cast("long")), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("run", "item_id").collect()) == [("a", 7), ("b", 2)]
+    tables.write_responses(df, path, mode="append")
     assert spark.read.parquet(path).where("run = 'a'").count() == 2
+    with pytest.raises(ValueError):
+        tables.write_responses(df, path, mode="overwrite")
+
+
+@pytest.mark.parametrize("separator", [None, "\x1e"])
+def test_a_run_written_again_replaces_its_files(spark, tmp_path, separator):
+    rows = [("a", "q1", OPTIONS, "A", "Answer: A"), ("a", "q2", OPTIONS, "B", "Answer: A"), ("b", "q1", OPTIONS, "A", "Answer: B")]
+    df = spark.createDataFrame(rows, "run string, question string, options array<string>, correct string, llm_answer string").repartition(2)
+    path = str(tmp_path / "csv")
+    run_csv.write_run_csv(df, path, separator)
+    run_csv.write_run_csv(df.where("run = 'a'"), path, separator)
+    got = run_csv.read_run_csv(spark, path, "*.csv", separator)
+    assert {r["run"]: r["count"] for r in got.groupBy("run").count().collect()} == {"a": 2, "b": 1}
+    run_csv.write_run_csv(df.where("run = 'a'"), path, separator, replace=False)
+    assert run_csv.read_run_csv(spark, path, "*.csv", separator).where("run = 'a'").count() == 4
+
+
+def test_foreign_short_and_long_records_are_set_aside(spark, run_folder):
+    with open(f"{run_folder}/torn_test.csv", "w") as file:
+        file.write("question,options,correct,llm_answer\n")
+        file.write('"Q, ""x""\nline","[\'a\']",A,"Answer: A"\n')
+        file.write('"Q2, cut",A\n')
+        file.write('Q3,"[\'a\']",A,"Answer: A",shown\n')
+        file.write('Q4,"[\'a\']",A,"Answer: A",shown,"more, yet"\n')
+        file.write('Q5,"[\'a\']",B,\n')
+    files = run_csv.RunFiles.scan(spark, run_folder, "*.csv")
+    aside = sorted((r["file"], r["fault"], r["record"]) for r in files.quarantine().collect())
+    assert [(f, why) for f, why, _ in aside] == [
+        ("em_scores.csv", "foreign_header"), ("em_scores.csv", "foreign_header"),
+        ("torn_test.csv", "long_record"), ("torn_test.csv", "long_record"), ("torn_test.csv", "short_record"),
+    ]
+    assert aside[3][2] == 'Q4,"[\'a\']",A,"Answer: A",shown,"more, yet"' and aside[4][2] == '"Q2, cut",A'
+    assert sorted(r["run"] for r in files.records().select("run").distinct().collect()) == ["base_test", "shown_test", "torn_test"]
+    torn = next(r for r in files.status().collect() if r["file"] == "torn_test.csv")
+    assert (torn["status"], torn["n"], torn["blank"], torn["short"], torn["long"], torn["em"]) == ("ok", 2, 1, 1, 2, 0.5)
+
+
+def test_a_score_sheet_among_result_files_is_no_run(spark, run_folder):
+    tree = run_csv.read_run_csv_tree(spark, run_folder, "*.csv")
+    assert {r["file"] for r in tree.select("file").distinct().collect()} == {"base_test", "shown_test"}
+    assert "m1" not in {r["question"] for r in run_csv.read_run_csv(spark, run_folder, "*.csv").collect()}
+
+
+def test_result_files_are_parsed_once(spark, run_folder):
+    files = run_csv.RunFiles.scan(spark, run_folder, "*.csv")
+    for df in (files.records(), files.quarantine(), files.status()):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan csv" not in plan and "FileScan parquet" in plan
+
+
+def test_no_matching_file(spark, tmp_path):
+    assert run_csv.read_run_csv(spark, str(tmp_path)).collect() == []
+    assert run_csv.run_file_status(spark, str(tmp_path)).collect() == []
