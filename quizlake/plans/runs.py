@@ -141,7 +141,7 @@ def _folder_of_all_kinds(spark: SparkSession, folder: str) -> str:
 )
 def csv_file_status(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per file status; file names differ from run to run, so files are summed up."""
-    files = run_csv.run_file_status(spark, _folder_of_all_kinds(spark, folder))
+    files = run_csv.run_file_status(spark, _folder_of_all_kinds(spark, folder), pattern="part-*")
     # A sheet has a header per part file, and how many these are is Spark's choice.
     files = files.withColumn("n", F.when(F.col("status") != "bad_columns", F.col("n")))
     return files.groupBy("status").agg(
@@ -164,7 +164,7 @@ def csv_file_status(spark: SparkSession, folder: str) -> DataFrame:
 )
 def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """Records set aside, by fault; the other files' records are not among them."""
-    files = run_csv.RunFiles.scan(spark, _folder_of_all_kinds(spark, folder), "*.csv")
+    files = run_csv.RunFiles.scan(spark, _folder_of_all_kinds(spark, folder), "part-*")
     # The sheet's header counts once, however many part files repeat it.
     foreign = F.col("fault") == "foreign_header"
     counts = files.quarantine().groupBy("fault").agg(F.count("*").alias("n"), F.count_distinct(F.when(foreign, F.col("record"))).alias("sheet"))
