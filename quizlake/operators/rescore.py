@@ -13,13 +13,17 @@ from quizlake.sources.result_table import ResultTable
 
 
 def reextract(table: ResultTable, extractor: Callable[[Column], Column]) -> None:
-    """Replace the table by one whose answers and statuses come from its replies; pending rows stay."""
-    waiting = F.col("status") == "pending"
-    answer = F.when(~waiting, extractor(F.col("LLMs_rationale")))
-    rows = table.read().withColumn("LLMs_answer", answer)
-    text = F.coalesce("LLMs_rationale", F.lit(""))
-    status = F.when(waiting, F.col("status")).otherwise(answer_status(text, F.col("LLMs_answer")))
-    table.replace(rows.withColumn("status", status))
+    """Replace the table by one whose answers and statuses come from its replies; pending rows stay, and
+    so do rows that are appended while this runs."""
+
+    def anew(rows: DataFrame) -> DataFrame:
+        waiting = F.col("status") == "pending"
+        answer = F.when(~waiting, extractor(F.col("LLMs_rationale")))
+        text = F.coalesce("LLMs_rationale", F.lit(""))
+        status = F.when(waiting, F.col("status")).otherwise(answer_status(text, F.col("LLMs_answer")))
+        return rows.withColumn("LLMs_answer", answer).withColumn("status", status)
+
+    table.update(anew)
 
 
 def score_table(table: ResultTable, by: list[Column], reference: str = "correct") -> DataFrame:

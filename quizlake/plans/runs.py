@@ -251,6 +251,27 @@ def result_table_rescored(spark: SparkSession, folder: str) -> DataFrame:
     return score_table(table, [(F.col("item_id") % 5).alias("part")])
 
 
+@register(
+    "result_table_interleaved",
+    ov.query(
+        """
+        SELECT item_id, CASE WHEN kind = 'economy' THEN 'A' ELSE upper(correct) || '!' END AS LLMs_answer, count(*) AS n
+        FROM mcq GROUP BY ALL""",
+        "mcq",
+    ),
+)
+def result_table_interleaved(spark: SparkSession, folder: str) -> DataFrame:
+    """One writer appends while another replaces the version from before: neither's rows are lost."""
+    root = scratch_path(spark, "interleaved")
+    one, two = (ResultTable(spark, root).create() for _ in range(2))
+    items = prep.add_answer_columns(prep.drop_rationale(fx.mcq(spark, folder)))
+    one.append(items.where("kind <> 'economy'").withColumn("LLMs_answer", F.col("correct")))
+    changed = one.read().withColumn("LLMs_answer", F.concat(F.upper("LLMs_answer"), F.lit("!")))
+    two.append(items.where("kind = 'economy'").withColumn("LLMs_answer", F.lit("A")))
+    one.replace(changed)
+    return two.read().groupBy("item_id", "LLMs_answer").agg(F.count("*").alias("n"))
+
+
 @register(
     "csv_grid_scored",
     ov.query(

@@ -9,7 +9,8 @@ from quizlake.functions import extract
 from quizlake.operators import items as prep
 from quizlake.operators import scoring
 from quizlake.sources import run_csv, tables
-from quizlake.sources.result_table import ResultTable, create_catalog_table
+from quizlake.sources.commit_log import CommitLog
+from quizlake.sources.result_table import ResultTable, VersionConflict, create_catalog_table
 
 OPTIONS = ["A)it's", 'B)"2"', "C)3", "D)4\n", "E)5"]
 
@@ -139,14 +140,69 @@ def test_compacting_drops_pending_rows_since_answered(spark, tmp_path, ready):
     assert [k for k, status in rows.items() if status == "answered"] in ([3, 4], [4, 3])
 
 
-def test_a_version_that_was_never_logged_is_not_read(spark, tmp_path, ready):
+def test_a_write_that_was_never_committed_is_not_read(spark, tmp_path, ready):
     table = ResultTable(spark, str(tmp_path / "t")).create()
     table.append(ready)
-    # A crash between the write and the log entry.
-    table._conform(ready.limit(1)).write.parquet(table._folder(table.version() + 1))
+    # A crash between the write and the commit.
+    table._written(ready.limit(1))
     assert table.read().count() == 20
     table.replace(answered(ready, 1))
     assert [r["item_id"] for r in table.read().collect()] == [1]
+    assert table.history() == [(1, "create"), (2, "append"), (3, "replace")]
+    assert table.read(2).count() == 20
+
+
+def test_rows_appended_during_a_replacement_are_kept(spark, tmp_path, ready):
+    one, two = (ResultTable(spark, str(tmp_path / "t")).create() for _ in range(2))
+    one.append(ready.where("item_id < 5"))
+    changed = one.read().withColumn("LLMs_answer", F.lit("B"))
+    two.append(answered(ready, 7, 8))
+    one.replace(changed)
+    two.append(answered(ready, 9))
+    got = {r["item_id"]: r["LLMs_answer"] for r in one.read().collect()}
+    assert got == {**{i: "B" for i in range(5)}, 7: "A", 8: "A", 9: "A"} and one.read().count() == 8
+
+
+def test_the_later_of_two_replacements_fails_and_is_worked_out_again(spark, tmp_path, ready):
+    one, two = (ResultTable(spark, str(tmp_path / "t")).create() for _ in range(2))
+    one.append(ready.where("item_id < 3").withColumn("LLMs_answer", F.lit("A")))
+    first, second = (t.read().withColumn("LLMs_answer", F.concat("LLMs_answer", F.lit(x))) for t, x in ((one, "1"), (two, "2")))
+    one.replace(first)
+    with pytest.raises(VersionConflict):
+        two.replace(second)
+    assert {r["LLMs_answer"] for r in two.read().collect()} == {"A1"}
+    calls = []
+
+    def change(rows):
+        if not calls:
+            one.update(lambda r: r.withColumn("LLMs_answer", F.concat("LLMs_answer", F.lit("x"))))
+        calls.append(1)
+        return rows.withColumn("LLMs_answer", F.concat("LLMs_answer", F.lit("2")))
+
+    two.update(change)
+    assert len(calls) == 2 and {r["LLMs_answer"] for r in one.read().collect()} == {"A1x2"}
+
+
+def test_two_seeds_at_once_add_each_item_once(spark, tmp_path, ready, monkeypatch):
+    one, two = (ResultTable(spark, str(tmp_path / "t")).create() for _ in range(2))
+    write = ResultTable._written
+
+    def later(self, df):
+        if self is one:
+            monkeypatch.setattr(ResultTable, "_written", write)
+            two.seed(ready)
+        return write(self, df)
+
+    monkeypatch.setattr(ResultTable, "_written", later)
+    one.seed(ready)
+    assert sorted(r["item_id"] for r in one.read().collect()) == list(range(20))
+
+
+def test_of_two_commits_to_one_number_one_succeeds(spark, tmp_path):
+    one, two = (CommitLog(spark, str(tmp_path / "log")) for _ in range(2))
+    assert one.latest() is None
+    assert one.put(1, {"by": 1}) and not two.put(1, {"by": 2}) and two.put(2, {"by": 2}) and not one.put(2, {"by": 1})
+    assert one.latest() == two.latest() == 2 and one.read(1) == {"by": 1} and one.read(2) == {"by": 2}
 
 
 def test_numeric_table(spark, tmp_path):
