@@ -16,7 +16,7 @@ from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
 from quizlake.session import scratch_path
-from quizlake.sources import run_csv, tables
+from quizlake.sources import database_file, run_csv, tables
 from quizlake.sources.result_table import ResultTable
 
 
@@ -304,6 +304,27 @@ def csv_grid_scored(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.score_sheet(graded, ["shots", "run"], "pred", "correct").drop("answered")
 
 
+@register(
+    "database_scan",
+    ov.query(
+        """
+        SELECT kind, count(*) AS n, count(DISTINCT question) AS questions, CAST(sum(item_id) AS BIGINT) AS ids, min(correct) AS least
+        FROM mcq WHERE correct >= 'B' GROUP BY kind""",
+        "mcq",
+    ),
+)
+def database_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Items written to database files, in two commits, and read back in ranges, by some columns and a condition."""
+    path = scratch_path(spark, "items-db")
+    items = fx.mcq(spark, folder).select("item_id", "kind", "question", options_to_list_text(F.col("options")).alias("options"), "correct")
+    for part in (items.where("kind = 'economy'"), items.where("kind <> 'economy'")):
+        database_file.write_database_files(part, path, "items")
+    rows = database_file.read_database_file(spark, path, "items", ["item_id", "kind", "question", "correct"]).where("correct >= 'B'")
+    return rows.groupBy("kind").agg(
+        F.count("*").alias("n"), F.count_distinct("question").alias("questions"), F.sum("item_id").alias("ids"), F.min("correct").alias("least")
+    )
+
+
 @register(
     "pending_rows",
     ov.query(

@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, app: str = "quizlake") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
