@@ -20,6 +20,7 @@ import quizlake
 from quizlake import fixed_values as fv
 from quizlake.functions.compare import answer_status, is_valid
 from quizlake.operators.joins import pending
+from quizlake.operators.requests import Desk, ReplyLog, Window
 from quizlake.operators.sampling import sample_uniform
 from quizlake.schema import REPLIES, REPLY_NAMES
 from quizlake.sources.result_table import ResultTable
@@ -68,6 +69,8 @@ def annotate(
     retries: int = 2,
     partitions: int | None = None,
     beside: str | None = None,
+    window: Window | None = None,
+    log: ReplyLog | None = None,
 ) -> DataFrame:
     """(keys, response, error, attempts) for every row with a prompt.
 
@@ -76,13 +79,26 @@ def annotate(
     and the job goes on. ``beside`` names a column whose values the responder gets as a second list.
     ``partitions`` sets how many tasks call the responder at once, by default the session's
     parallelism. A lost task asks again, so replies should be written before they are used.
+
+    With a ``window`` prompts are asked one by one, several at a time, each within a deadline; equal
+    prompts of a batch are asked once. When a whole window passes its deadline without a reply, the
+    task's other prompts are given back unasked, with no attempts and the error ``SILENT``. With a
+    ``log`` as well, replies are kept by prompt as they come, and a task that is run again, or a
+    later job, asks only what is not in it.
     """
     given = [prompt] if beside is None else [prompt, beside]
+    if log is not None and window is None:
+        window = Window()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         respond = make_responder()
+        desk = Desk(respond, window, retries + 1, log) if window else None
         for batch in batches:
             asked = [batch[column].tolist() for column in given]
+            if desk:
+                columns = pd.DataFrame(desk.answer(list(zip(*asked))), columns=REPLIES.names, index=batch.index)
+                yield pd.concat([batch[keys], columns], axis=1)
+                continue
             try:
                 replies = [(text, None, 1) for text in respond(*asked)]
                 if len(replies) != len(batch):
@@ -93,7 +109,8 @@ def annotate(
             yield pd.concat([batch[keys], columns], axis=1)
 
     rows = df.select(*dict.fromkeys([*keys, *given])).where(F.col(prompt).isNotNull())
-    rows = rows.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism)
+    tasks = partitions or df.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(tasks)
     schema = T.StructType([df.schema[key] for key in keys] + REPLIES.fields)
     return rows.mapInPandas(run, schema)
 
@@ -166,8 +183,10 @@ def annotate_until(
         found = replies.withColumnRenamed("response", "LLMs_rationale").withColumn(
             "LLMs_answer", extractor(F.col("LLMs_rationale"))
         )
-        # An item whose responder kept failing counts as unparsed, or it would be asked for ever.
+        # An item whose responder kept failing counts as unparsed, or it would be asked for ever; one that
+        # was given back unasked stays pending.
         text = F.coalesce("LLMs_rationale", F.lit(""))
+        found = found.where("attempts > 0")
         table.append(found.withColumn("status", answer_status(text, answer)))
     done = table.read().where(is_valid(answer))
     return sample_uniform(done, target, key, seed).withColumn("target_met", F.lit(valid >= target))
