@@ -20,6 +20,7 @@ import quizlake
 from quizlake import fixed_values as fv
 from quizlake.functions.compare import answer_status, is_valid
 from quizlake.operators.joins import pending
+from quizlake.operators.ledger import RankLedger
 from quizlake.operators.requests import Desk, ReplyLog, Window
 from quizlake.operators.sampling import sample_uniform
 from quizlake.schema import REPLIES, REPLY_NAMES
@@ -148,35 +149,37 @@ def annotate_until(
 ) -> DataFrame:
     """Ask until ``target`` valid answers are stored; the first ``target`` of them, in seeded order.
 
-    Each round takes the lowest pending items by seeded hash, as many as the yield so far calls
-    for and ``spare`` standard deviations more, which mostly spares a last round for a handful of
-    rows, and appends their replies to ``table``, with the error text and the number of attempts of
-    each. A crash loses one round at most, and a rerun goes on from what is stored. Rounds stop when
-    the target is met or no item with a prompt is pending; items without a prompt are never asked.
-    All stored replies stay in the table. ``max_rounds`` rounds without reaching either end are an
-    error; by default there is no such limit. ``target_met`` in the result says whether the target
-    was reached.
+    Pending items are laid out once in the order of a seeded hash. Each round takes the next of them, as
+    many as the yield so far calls for and ``spare`` standard deviations more, which mostly spares a
+    last round for a handful of rows, and appends their replies to ``table``, with the error text and
+    the number of attempts of each; it reads nothing but its own stretch and its own replies. A crash
+    loses one round at most, and a rerun goes on from what is stored. Rounds stop when the target is
+    met, when no item with a prompt is left, or when a round brings no reply at all because the
+    responder is silent; items without a prompt are never asked. All stored replies stay in the table.
+    ``max_rounds`` rounds without reaching an end are an error; by default there is no such limit.
+    ``target_met`` in the result says whether the target was reached.
     """
     askable = items.where(F.col(prompt).isNotNull())
     answer = F.col("LLMs_answer")
     fields = [name for name in table.schema.names if name in items.columns]
     carried = [name for name in fields if name not in REPLY_NAMES]
-    before, rounds = None, 0
-    while True:
-        stored = table.read().where(F.col("status") != "pending")
-        asked, valid = stored.agg(F.count("*"), F.count_if(is_valid(answer))).first()
-        if valid >= target or asked == before:
-            break
-        if rounds == max_rounds:
-            raise RuntimeError(f"{valid} of {target} valid answers after {rounds} rounds")
-        before, rounds = asked, rounds + 1
+    stored = table.read().where(F.col("status") != "pending")
+    counts = [F.count("*"), F.count_if(is_valid(answer))]
+    asked, valid = stored.agg(*counts).first()
+    ledger, rounds = RankLedger(pending(askable, stored, key), key, seed), 0
+    while valid < target:
         # Without a valid answer the yield is unknown: ask twice as many as so far.
         if valid:
             missing, share = target - valid, valid / asked
             wanted = math.ceil((missing + spare * math.sqrt(missing * (1 - share))) / share)
         else:
             wanted = max(target, 2 * asked)
-        batch = sample_uniform(pending(askable, stored, key), wanted, key, seed)
+        batch = ledger.take(wanted)
+        if batch is None:
+            break
+        if rounds == max_rounds:
+            raise RuntimeError(f"{valid} of {target} valid answers after {rounds} rounds")
+        rounds += 1
         tasks = max(items.sparkSession.sparkContext.defaultParallelism, -(-wanted // _PROMPTS_PER_TASK))
         spread = {"partitions": tasks, **options}
         replies = annotate(batch, make_responder, carried, prompt, **spread)
@@ -187,6 +190,9 @@ def annotate_until(
         # was given back unasked stays pending.
         text = F.coalesce("LLMs_rationale", F.lit(""))
         found = found.where("attempts > 0")
-        table.append(found.withColumn("status", answer_status(text, answer)))
+        more, right = table.append(found.withColumn("status", answer_status(text, answer))).agg(*counts).first()
+        if not more:
+            break
+        asked, valid = asked + more, valid + right
     done = table.read().where(is_valid(answer))
     return sample_uniform(done, target, key, seed).withColumn("target_met", F.lit(valid >= target))

@@ -97,9 +97,12 @@ class ResultTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*folders)
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame) -> DataFrame:
+        """Add rows; gives them back as they were written."""
         self._current()
-        self._commit("append", 0, self._written(df))
+        name = self._written(df)
+        self._commit("append", 0, name)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
 
     def replace(self, df: DataFrame, base: int | None = None) -> None:
         """Put ``df`` in the place of the version it was made from: ``base``, or the one that this
