@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quizlake import fixed_values as fv
+from quizlake.operators.batches import length_batches
 from quizlake.operators.joins import attach
 from quizlake.session import materialise
 
@@ -134,17 +135,25 @@ def encode(
     padding: str = "max_length",
     batch: str | None = None,
     literal_bytes: int = _LITERAL_BYTES,
+    batch_size: int | None = None,
 ) -> DataFrame:
-    """One row per ``key``: for each text column ``t`` of ``lengths`` its ``t_ids``, ``t_mask``,
+    """One row per row of ``df``: its ``key``, and for each text column ``t`` of ``lengths`` its ``t_ids``, ``t_mask``,
     ``t_tokens`` (words in the whole text) and ``t_cut`` (whether it was longer than its length).
 
     Ids are cut to the given length and padded on the right: to that length, or with
-    ``padding='longest'`` to the longest text of the row's ``batch``.
+    ``padding='longest'`` to the longest text of the row's ``batch``. Without a batch column of the
+    caller's, ``batch_size`` puts texts of nearly one length together, by the first of ``lengths``;
+    ``key`` must identify a row then, and the result has a ``batch`` column.
     """
     if padding not in ("max_length", "longest"):
         raise ValueError("padding must be 'max_length' or 'longest'")
-    if (padding == "longest") != (batch is not None):
-        raise ValueError("padding='longest' goes with a batch column")
+    if (padding == "longest") != ((batch is None) != (batch_size is None)):
+        raise ValueError("padding='longest' goes with a batch column or a batch size")
+    if batch_size is not None:
+        batch = "batch"
+        name, length = next(iter(lengths.items()))
+        counted = df.select(key, *lengths, F.least(F.coalesce(F.size(tokens(F.col(name))), F.lit(0)), F.lit(length)).alias("_kept"))
+        df = length_batches(counted, key, "_kept", batch_size, batch=batch)
     carried = [key] + ([batch] if batch else [])
     group = [*carried, *[f"{name}_tokens" for name in lengths]]
 
@@ -160,7 +169,11 @@ def encode(
     if size <= literal_bytes:
         numbered = _ids_by_literal(split, lengths, ids, words)
     else:
-        numbered = _ids_by_join(split, lengths, ids, group)
+        # Keys may be null or repeat, so words come back together by a row number of their own; it is
+        # written with them, for a lost task would number anew.
+        cut = split.withColumns({name: _cut(name, length) for name, length in lengths.items()})
+        cut = materialise(cut.withColumn("_row", F.monotonically_increasing_id()), "words")
+        numbered = _ids_by_join(cut, lengths, ids, ["_row", *group])
 
     if padding == "longest":
         # From the word counts alone, so that nothing is encoded for it.

@@ -9,6 +9,7 @@ from quizlake import fixed_values as fv
 from quizlake.functions import prompts
 from quizlake.functions.options import option_of_letter
 from quizlake.operators import encode as enc
+from quizlake.operators.batches import padding_report
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
@@ -139,6 +140,25 @@ def encoded_longest(spark: SparkSession, folder: str) -> DataFrame:
     return _as_text(encoded, "inputs")
 
 
+@register(
+    "encoded_batches",
+    ov.query(
+        f"""
+        SELECT batch, count(*) AS n, CAST(sum(kept) AS BIGINT) AS text_used, CAST(count(*) * max(kept) - sum(kept) AS BIGINT) AS text_pads,
+               round((count(*) * max(kept) - sum(kept)) / nullif(count(*) * max(kept), 0)::DOUBLE, 6) AS text_padding
+        FROM (SELECT kept, (row_number() OVER (ORDER BY kept, {ov.seeded(fv.SAMPLE_SEED, 'doc_id')}, doc_id) - 1) // 32 AS batch
+              FROM (SELECT doc_id, least(len({ov.tokens('text')}), 512) AS kept FROM documents))
+        GROUP BY batch"""
+    ),
+)
+def encoded_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in batches of 32 of nearly one length, each padded to its longest: the padding per batch."""
+    documents = fx.documents(spark, folder).select("doc_id", "text")
+    vocabulary = enc.build_vocabulary(documents, "text", _WORDS)
+    encoded = enc.encode(documents, "doc_id", {"text": fv.MAX_INPUT_TOKENS}, vocabulary, padding="longest", batch_size=32)
+    return padding_report(encoded, ["text"], ["batch"])
+
+
 @register(
     "encoded_documents",
     ov.query(

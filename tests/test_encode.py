@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizlake.operators import encode as enc
+from quizlake.operators.batches import length_batches, padding_report
 
 TEXTS = [
     (1, "x", "the cat the dog\n the end", "cat"),
@@ -90,3 +92,37 @@ def test_common_word_is_one_row_per_task(spark):
     df = spark.range(100).select(F.lit("the the the").alias("text"))
     plan = enc.build_vocabulary(df, "text", 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_count") == 1
+
+
+@pytest.mark.parametrize("literal_bytes", [10**9, 0])
+def test_null_and_repeated_keys_keep_their_rows(spark, vocabulary, literal_bytes):
+    rows = [(None, "the cat"), (None, "dog end the"), (7, "the"), (7, "cat cat cat"), (7, "the"), (8, None)]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    got = enc.encode(df, "key", {"text": 4}, vocabulary, literal_bytes=literal_bytes).collect()
+    want = [(key, *expected(vocabulary, text, 4, 4)) for key, text in rows]
+    assert sorted(((r["key"], r["text_ids"], r["text_mask"], r["text_tokens"], r["text_cut"]) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("group_rows", [10**6, 3])
+def test_batches_of_nearly_one_length(spark, group_rows):
+    rows = [(i, i * i % 11) for i in range(100)] + [(100 + i, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "key long, n int").repartition(4)
+    got = length_batches(df, "key", "n", 8, group_rows=group_rows).collect()
+    assert Counter(r["batch"] for r in got) == {i: 8 for i in range(13)} | {13: 1}
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, hashlib.md5(f"42:{r[0]}".encode()).hexdigest()))
+    assert {r["key"]: r["batch"] for r in got} == {key: place // 8 for place, (key, _) in enumerate(order)}
+    assert length_batches(df.limit(0), "key", "n", 8).collect() == []
+
+
+def test_own_batches_pad_less(spark, vocabulary):
+    rows = [(i, " ".join(["the"] * (1 + i * 7 % 40))) for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    tight = enc.encode(df, "key", {"text": 32}, vocabulary, padding="longest", batch_size=10)
+    report = padding_report(tight, ["text"]).first()
+    assert report["n"] == 200 and report["text_used"] == sum(min(1 + i * 7 % 40, 32) for i in range(200))
+    wide = padding_report(enc.encode(df, "key", {"text": 32}, vocabulary), ["text"]).first()
+    assert report["text_padding"] < 0.06 < 0.3 < wide["text_padding"]
+    for r in tight.collect():
+        assert len(r["text_ids"]) == max(len([x for x in q["text_mask"] if x]) for q in tight.where(f"batch = {r['batch']}").collect()) if r["key"] < 2 else True
+    with pytest.raises(ValueError):
+        enc.encode(df, "key", {"text": 4}, vocabulary, batch_size=3)
