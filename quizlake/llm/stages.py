@@ -6,7 +6,7 @@ Rows keep every column they came with, whatever its name; decisions are made fro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.llm import langid, ngram_join, packing, substring_dedup, toxicity
@@ -14,35 +14,42 @@ from quizlake.llm.tables import table
 
 #: Least pooled probability of the language found; below, the text is of no language learned.
 LEAST_SCORE = 0.35
-#: Keys (8 bytes each) up to which a list of documents to drop is sent to them.
+#: Keys (8 or 16 bytes each) up to which a list of documents to drop is sent to them.
 BROADCAST = 2_000_000
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """The other columns beside the text, so that none of theirs can clash and the text goes once."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return docs.select(F.struct(*rest).alias("row") if rest else F.lit(None).cast("int").alias("row"), "text")
+def _prints(docs: DataFrame) -> list[Column]:
+    """Two hashes of a document's text, null texts alike."""
+    return [F.xxhash64(F.lit(i), docs["text"]).alias(f"print{i}_") for i in (1, 2)]
 
 
-def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` again."""
-    return rows.select(*[F.col("text_").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+def _judged(docs: DataFrame) -> DataFrame:
+    """What the text stages are given: each text and its prints, and nothing to carry through."""
+    return docs.select(*_prints(docs), "text")
 
 
 def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST else keys
 
 
+def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """Documents whose text is not among the rejected prints. Texts go to Python once and do not come
+    back; their documents are dropped where they lie."""
+    drop = ngram_join.materialise(rejected.select("print1_", "print2_").distinct(), name)
+    one, two = _prints(docs)
+    return docs.join(_sent(drop), (one == F.col("print1_")) & (two == F.col("print2_")), "left_anti")
+
+
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in one of the languages of the ``lang`` column, by their text."""
-    named = langid.identify(_packed(docs), langid.fit(docs), keep_text=True)
-    return _unpacked(named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
+    named = langid.identify(_judged(docs), langid.fit(docs))
+    return _without(docs, named.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)), "unknown")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of grade 0; the grades are learned from the ``labels`` of the documents at hand."""
-    graded = toxicity.grade(_packed(docs), toxicity.fit(docs, table(spark, folder, "labels")), keep_text=True)
-    return _unpacked(graded.where("grade = 0"), docs)
+    graded = toxicity.grade(_judged(docs), toxicity.fit(docs, table(spark, folder, "labels")))
+    return _without(docs, graded.where("grade > 0"), "toxic")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
