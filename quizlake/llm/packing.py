@@ -21,6 +21,7 @@ import functools
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,16 +43,20 @@ SLACK = 1 / 128
 REMEMBERED = 600_000
 
 
+#: White space but blank and line feed.
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (32, 10)]
+
+
 class _Remembered(dict):
     """Ids of a piece of text as little-endian bytes, found on first use."""
 
-    def __init__(self, encode):
+    def __init__(self, encode: tiktoken.Encoding):
         super().__init__()
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        found = np.array(self.encode(piece, allowed_special="all"), "<u4").tobytes()
-        self[piece] = found
+        ids = self.encode.encode(piece, allowed_special="all") if "<|" in piece else self.encode.encode_ordinary(piece)
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
 
@@ -71,17 +76,23 @@ class ByteLevelEncoder:
         ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in {x["content"] for x in spec["added_tokens"]}}
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         encoding = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=specials)
-        self.known = _Remembered(encoding.encode)
-        self.uneven = re.compile(r"\s\s| $|^ |[^\S ] | [^\S ]")
+        if any("<|" not in name for name in specials):
+            raise ValueError(f"special tokens are known by <|, which {sorted(specials)} lack")
+        self.known = _Remembered(encoding)
         self.safe = re.compile(r"(?<=\S) (?=\S)")
 
+    @staticmethod
+    def uneven(text: str) -> bool:
+        """Whether a space may stand at an end or beside other white space."""
+        return text[0] == " " or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or any(c in text for c in _OTHER_SPACE)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        parts = self.safe.split(text) if self.uneven.search(text) else text.split(" ")
+        parts = self.safe.split(text) if self.uneven(text) else text.split(" ")
         parts[1:] = [" " + p for p in parts[1:]]
         return b"".join(map(self.known.__getitem__, parts))
 
