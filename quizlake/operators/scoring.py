@@ -102,7 +102,7 @@ def score_runs(
     letter leave the mean and are counted in ``no_reference``.
     """
     counts = run_counts(responses, items, by, shots, key, broadcast_bytes)
-    em = _share(F.col("hits"), F.col("n") - F.col("no_reference"))
+    em = share(F.col("hits"), F.col("n") - F.col("no_reference"))
     return counts.withColumn("em", em).drop("hits")
 
 
@@ -129,7 +129,7 @@ def _rows(weight: str | None, condition: Column | None = None) -> Column:
     return F.sum(counted).cast("bigint")
 
 
-def _share(hits: Column, rows: Column) -> Column:
+def share(hits: Column, rows: Column) -> Column:
     """``hits / rows``, null over no rows, rounded so that summation order does not show."""
     return F.round(hits / F.nullif(rows, F.lit(0).cast("bigint")).cast("double"), _PLACES)
 
@@ -163,7 +163,7 @@ def score_sheet(
         _rows(weight).alias("n"),
         _rows(weight, compare.is_valid(F.col(pred))).alias("answered"),
         _rows(weight, ~known).alias("no_reference"),
-        _share(_rows(weight, hit), _rows(weight, known)).alias("em"),
+        share(_rows(weight, hit), _rows(weight, known)).alias("em"),
     )
 
 
@@ -193,7 +193,7 @@ def text_accuracy(
     """Share of predictions equal to the option text, case and all; null over no rows."""
     hits = _rows(weight, F.col(pred) == F.col(answer))
     return df.groupBy(*by).agg(
-        _rows(weight).alias("n"), _share(hits, _rows(weight)).alias("accuracy")
+        _rows(weight).alias("n"), share(hits, _rows(weight)).alias("accuracy")
     )
 
 

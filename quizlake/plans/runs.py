@@ -18,6 +18,7 @@ from quizlake.plans.registry import register
 from quizlake.session import scratch_path
 from quizlake.sources import database_file, run_csv, tables
 from quizlake.sources.result_table import ResultTable
+from quizlake.sources.score_log import ScoreLog
 
 
 @register("column_scan", "SELECT p_partkey, p_type FROM part")
@@ -98,6 +99,36 @@ def csv_runs_scored(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register(
+    "score_sheet_grown",
+    ov.query(
+        f"""
+        SELECT run, count(*) AS n, count(pred) AS answered, count(*) FILTER (WHERE reply IS NULL) AS blank,
+               count(*) FILTER (WHERE correct IS NULL) AS no_reference,
+               round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END) FILTER (WHERE correct IS NOT NULL), 6) AS em
+        FROM (SELECT *, {ov.last_letter('reply')} AS pred
+              FROM (SELECT *, CASE WHEN run = 'run_o' THEN response || ' Answer: C' ELSE response END AS reply FROM responses))
+             LEFT JOIN referenced USING (item_id) GROUP BY run""",
+        "mcq",
+        "responses",
+        referenced=_REFERENCED,
+    ),
+)
+def score_sheet_grown(spark: SparkSession, folder: str) -> DataFrame:
+    """A sheet over all runs but one, then over that one too, then after another was written anew."""
+    path = scratch_path(spark, "runs-csv")
+    items = _referenced(fx.mcq(spark, folder)).select("item_id", "question", "options", "correct")
+    records = attach(fx.responses(spark, folder), items, "item_id", "left").select(
+        "run", "question", "options", "correct", F.col("response").alias("llm_answer")
+    )
+    log = ScoreLog(spark, scratch_path(spark, "score-log"), path, pattern="*.csv", record_separator=_SEPARATOR)
+    again = records.where("run = 'run_o'").withColumn("llm_answer", F.concat("llm_answer", F.lit(" Answer: C")))
+    for part in (records.where("run <> 'run_p'"), records.where("run = 'run_p'"), again):
+        run_csv.write_run_csv(part, path, _SEPARATOR)
+        log.update()
+    return log.sheet()
+
+
 # Every item as a record of a file that was written badly: a field too few, two too many, or as it should be.
 _TORN = """
     SELECT item_id % 3 AS shape, correct FROM referenced"""

@@ -55,10 +55,20 @@ def _path(column: Column) -> Column:
     return F.regexp_replace(column, "^file:/+", "file:/")
 
 
+def _decoded(address: Column) -> Column:
+    """An address, its escapes undone."""
+    return F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))
+
+
 def _file_name(path: Column) -> Column:
     """File name of an address, its escapes undone."""
-    encoded = F.replace(last_segment(path), F.lit("+"), F.lit("%2B"))
-    return F.url_decode(encoded)
+    return _decoded(last_segment(path))
+
+
+def file_listing(spark: SparkSession, folder: str, pattern: str = RUN_FILES) -> DataFrame:
+    """Path, length and time of every matching file that holds anything; contents are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return found.select(_path(F.col("path")).alias("path"), "length", F.col("modificationTime").alias("time"))
 
 
 #: Records without a prompt column, and with one.
@@ -97,14 +107,16 @@ class RunFiles:
     def scan(
         cls,
         spark: SparkSession,
-        folder: str,
+        folder: str | list[str],
         pattern: str = RUN_FILES,
         record_separator: str | None = None,
         tree: bool = False,
+        base: str | None = None,
     ) -> RunFiles:
-        """All matching files of ``folder``, with ``tree`` at any depth."""
+        """All matching files of ``folder``, with ``tree`` at any depth; or the files of a list, which lie
+        under ``base``."""
         schema = T.StructType([*RUN_CSV.fields, T.StructField(_RAW, T.StringType())])
-        found = {"pathGlobFilter": pattern} | ({"recursiveFileLookup": "true"} if tree else {})
+        found = {"pathGlobFilter": pattern} | ({"recursiveFileLookup": "true"} if tree else {}) | ({"basePath": base} if base else {})
         # Pruning columns would stop the parser from counting fields.
         reader = spark.read.schema(schema).options(
             header="false", mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW, columnPruning="false",
@@ -150,6 +162,19 @@ class RunFiles:
         set_aside = self._judged().where("fault is not null")
         return set_aside.select("path", _file_name(F.col("path")).alias("file"), "fault", F.coalesce(_RAW, fields).alias("record"))
 
+    def sums(self, n_shot: int | Column = 0) -> DataFrame:
+        """Per file with records that fit: path (as in ``file_listing``), run, n, answered, blank,
+        no_reference and hits."""
+        letter = extract.last_letter_after(F.col("llm_answer"), n_shot)
+        graded = self.records().select("path", "run", "correct", F.col("llm_answer").isNull().alias("_blank"), letter.alias("_letter"))
+        return graded.groupBy(_decoded(F.col("path")).alias("path"), "run").agg(
+            F.count("*").alias("n"),
+            F.count("_letter").alias("answered"),
+            F.count_if("_blank").alias("blank"),
+            F.count_if(F.col("correct").isNull()).alias("no_reference"),
+            F.count_if(F.col("_letter") == F.col("correct")).alias("hits"),
+        )
+
     def status(self, n_shot: int | Column = 0) -> DataFrame:
         """One row per file: (path, file, status, n, blank, no_reference, short, long, em), whatever is in
         the file.

@@ -8,8 +8,9 @@ from quizlake import schema
 from quizlake.functions import extract
 from quizlake.operators import items as prep
 from quizlake.operators import scoring
-from quizlake.sources import run_csv, tables
+from quizlake.sources import run_csv, score_log, tables
 from quizlake.sources.commit_log import CommitLog
+from quizlake.sources.score_log import ScoreLog
 from quizlake.sources.result_table import ResultTable, VersionConflict, create_catalog_table
 
 OPTIONS = ["A)it's", 'B)"2"', "C)3", "D)4\n", "E)5"]
@@ -302,3 +303,44 @@ def test_result_files_are_parsed_once(spark, run_folder):
 def test_no_matching_file(spark, tmp_path):
     assert run_csv.read_run_csv(spark, str(tmp_path)).collect() == []
     assert run_csv.run_file_status(spark, str(tmp_path)).collect() == []
+
+
+def sheet_of(log):
+    return {r["run"]: (r["n"], r["answered"], r["blank"], r["no_reference"], r["em"]) for r in log.sheet().collect()}
+
+
+def test_a_sheet_grows_by_the_files_that_are_new(spark, run_folder, tmp_path_factory):
+    log = ScoreLog(spark, str(tmp_path_factory.mktemp("log")), run_folder, n_shot=F.when(F.col("path").contains("shown"), 1).otherwise(0))
+    assert sheet_of(log) == {}
+    # Two files with records, and one with a header alone that is not read again.
+    assert log.update() == 3 and log.update() == 0
+    want = {"base_test": (4, 3, 1, 0, 0.5), "shown_test": (4, 3, 0, 0, 0.5)}
+    assert sheet_of(log) == want
+    more = pd.DataFrame({"question": ["Q"], "options": [str(OPTIONS)], "correct": ["A"], "llm_answer": ["Answer: A"]})
+    more.to_csv(f"{run_folder}/a b+c%_test.csv", index=False)
+    assert log.update() == 1
+    assert sheet_of(log) == want | {"a b+c%_test": (1, 1, 0, 0, 1.0)}
+    # A file that changes counts as it is now, one that goes counts no more.
+    pd.concat([more, more.assign(correct="B")]).to_csv(f"{run_folder}/a b+c%_test.csv", index=False)
+    os.rename(f"{run_folder}/base_test.csv", f"{run_folder}/base.old")
+    assert log.update() == 1
+    assert sheet_of(log) == {"shown_test": want["shown_test"], "a b+c%_test": (2, 2, 0, 0, 0.5)}
+    whole = ScoreLog(spark, str(tmp_path_factory.mktemp("other")), run_folder, n_shot=F.when(F.col("path").contains("shown"), 1).otherwise(0))
+    assert whole.update() == 3 and sheet_of(whole) == sheet_of(log)
+
+
+def test_of_two_updates_at_once_one_counts(spark, run_folder, tmp_path_factory, monkeypatch):
+    root = str(tmp_path_factory.mktemp("log"))
+    one, two = (ScoreLog(spark, root, run_folder) for _ in range(2))
+    listing = score_log.file_listing
+
+    def meanwhile(*args):
+        monkeypatch.setattr(score_log, "file_listing", listing)
+        two.update()
+        monkeypatch.setattr(one._log, "latest", lambda: None)
+        return listing(*args)
+
+    monkeypatch.setattr(score_log, "file_listing", meanwhile)
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        one.update()
+    assert sheet_of(two)["base_test"][0] == 4
