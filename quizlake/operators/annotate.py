@@ -36,8 +36,9 @@ _PROMPTS_PER_TASK = 10_000
 cloudpickle.register_pickle_by_value(quizlake)
 
 
-def template_responder() -> Responder:
-    """A stand-in that is no model: letter or refusal, from the prompt's hash alone."""
+def template_responder(echo: bool = False) -> Responder:
+    """A stand-in that is no model: letter or refusal, from the prompt's hash alone; with ``echo`` behind
+    the prompt, as text generators reply."""
 
     def reply(prompt: str) -> str:
         digest = hashlib.md5(prompt.encode("utf-8")).hexdigest()
@@ -47,7 +48,8 @@ def template_responder() -> Responder:
 
     def respond(prompts: list[str], runs: list[str] | None = None) -> list[str]:
         # Every run has replies of its own.
-        return [reply(p if run is None else f"{run}\n{p}") for p, run in zip(prompts, runs or [None] * len(prompts))]
+        told = zip(prompts, runs or [None] * len(prompts))
+        return [(p if echo else "") + reply(p if run is None else f"{run}\n{p}") for p, run in told]
 
     return respond
 

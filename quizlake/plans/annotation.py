@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from quizlake import fixed_values as fv
 from quizlake.functions import prompts
 from quizlake.functions.extract import last_letter
 from quizlake.operators import annotate as ann
-from quizlake.operators import scoring
+from quizlake.operators import evaluation, scoring
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
+from quizlake.plans import samples
 from quizlake.plans.registry import register
 from quizlake.session import materialise, scratch_path
 from quizlake.sources.result_table import ResultTable
@@ -99,3 +102,37 @@ def generate_and_score(spark: SparkSession, folder: str) -> DataFrame:
     # Written before they are scored: a lost task must not ask again.
     replies = materialise(asked, "replies")
     return scoring.score_runs(replies, items, ["run"])
+
+
+_MODES = [("zero_shot", 0), ("letter", 2), ("rationale", 2)]
+
+
+def _few_shot_sql(mode: str, example: str) -> str:
+    return f"""
+        SELECT s.item_id, '{mode}' AS mode, 2 AS n_shot, {example.format('a.')} || {example.format('b.')} || {samples._OPEN.format('s.')} AS prompt
+        FROM second s JOIN placed a ON a.own = place0 JOIN placed b ON b.own = place1"""
+
+
+@register(
+    "generate_and_score_modes",
+    ov.query(
+        f"""
+        SELECT run, mode, n_shot, count(*) AS n, count(pred) AS answered, CAST(0 AS BIGINT) AS blank,
+               CAST(0 AS BIGINT) AS no_reference,
+               round(avg(CASE WHEN pred = correct THEN 1.0 ELSE 0.0 END), 6) AS em
+        FROM (SELECT r.run, r.mode, r.n_shot, m.correct, {ov.last_letter_after('r.response', 'r.n_shot')} AS pred
+              FROM replied r JOIN mcq m USING (item_id)) GROUP BY ALL""",
+        "mcq",
+        **samples._DRAWS,
+        prompted=f"""
+            SELECT item_id, 'zero_shot' AS mode, 0 AS n_shot, {samples._OPEN.format('')} AS prompt FROM mcq
+            UNION ALL {_few_shot_sql('letter', samples._LETTER)}
+            UNION ALL {_few_shot_sql('rationale', samples._REASONED)}""",
+        asked=f"SELECT *, unnest({_RUNS}) AS run FROM prompted",
+        replied=f"SELECT *, prompt || {_reply_sql('run || chr(10) || prompt')} AS response FROM asked",
+    ),
+)
+def generate_and_score_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs in three prompt modes, asked in one job by a responder that repeats the prompt, and scored."""
+    echoing = partial(ann.template_responder, echo=True)
+    return evaluation.generate_and_score(fx.mcq(spark, folder), _RUNS, _MODES, echoing)

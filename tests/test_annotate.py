@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quizlake.functions import prompts
 from quizlake.functions.extract import last_letter
 from quizlake.operators import annotate as ann
+from quizlake.operators import evaluation
 from quizlake.operators import items as prep
 from quizlake.sources.result_table import ResultTable
 
@@ -173,3 +174,26 @@ def test_errors_are_stored_with_the_reply(spark, tmp_path, asked):
     ann.annotate_until(asked.limit(3), table, make, last_letter, 1, retries=1)
     rows = table.read().collect()
     assert len(rows) == 3 and all((r["error"], r["attempts"], r["status"]) == ("RuntimeError: down", 2, "unparsed") for r in rows)
+
+
+def test_modes_and_runs_are_asked_in_one_pass(spark, tmp_path, items):
+    folder = str(tmp_path)
+    some = items.where("item_id < 30").withColumn("rationale", F.lit("Because."))
+
+    def echo():
+        def respond(batch, runs):
+            with open(os.path.join(folder, f"{os.getpid()}.log"), "a") as log:
+                log.writelines(f"{run}\n" for run in runs)
+            return [p + ("Answer: B" if run == "b" else "no idea") for p, run in zip(batch, runs)]
+
+        return respond
+
+    sheet = evaluation.generate_and_score(some, ["a", "b"], [("zero_shot", 0), ("letter", 1), ("rationale", 2)], echo)
+    got = {(r["run"], r["mode"], r["n_shot"]): (r["n"], r["answered"], r["em"]) for r in sheet.collect()}
+    share = round(some.where("correct = 'B'").count() / 30, 6)
+    # The letters of the examples that stand in the reply are nobody's answer.
+    modes = [("zero_shot", 0), ("letter", 1), ("rationale", 2)]
+    assert got == {("a", *m): (30, 0, 0.0) for m in modes} | {("b", *m): (30, 30, share) for m in modes}
+    assert sorted(asked_lines(folder)) == ["a"] * 90 + ["b"] * 90
+    with pytest.raises(ValueError):
+        evaluation.mode_prompts(some, [("zero_shot", 1)])
