@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from quizlake.operators.rescore import reextract, score_table, write_score_sheet
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
-from quizlake.session import scratch_path
+from quizlake.session import materialise, scratch_path
 from quizlake.sources import database_file, run_csv, tables
 from quizlake.sources.result_table import ResultTable
 from quizlake.sources.score_log import ScoreLog
@@ -374,6 +376,55 @@ def pending_rows(spark: SparkSession, folder: str) -> DataFrame:
     return pending(fx.mcq(spark, folder), answered, "item_id").select("item_id", "question")
 
 
+#: Buckets of the co-located tables: at scale, as many as tasks that are to share the work.
+_BUCKETS = 8
+
+
+def _colocated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Items and replies dealt to buckets by item."""
+    mark = uuid.uuid4().hex
+    items, replies = fx.mcq(spark, folder), fx.responses(spark, folder)
+    return tuple(
+        tables.write_colocated(df, f"quizlake_{name}_{mark}", scratch_path(spark, name), "item_id", _BUCKETS)
+        for name, df in (("items", items), ("replies", replies))
+    )
+
+
+@register(
+    "em_by_run_colocated",
+    ov.query(
+        f"""
+        SELECT run, count(*) AS n, count(pred) AS answered, count(*) FILTER (WHERE response IS NULL) AS blank,
+               count(*) FILTER (WHERE correct IS NULL) AS no_reference,
+               round(avg(CASE WHEN correct IS NULL THEN NULL WHEN pred = correct THEN 1.0 ELSE 0.0 END), 6) AS em
+        FROM (SELECT *, {ov.last_letter('response')} AS pred FROM responses) LEFT JOIN mcq USING (item_id) GROUP BY run""",
+        "mcq",
+        "responses",
+    ),
+)
+def em_by_run_colocated(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores over tables that lie in buckets by item: replies and items meet where they are."""
+    items, replies = _colocated(spark, folder)
+    return scoring.score_runs(replies, items, ["run"], broadcast_bytes=0)
+
+
+@register(
+    "pending_rows_colocated",
+    ov.query(
+        f"""
+        SELECT item_id, question FROM mcq
+        WHERE item_id NOT IN (SELECT item_id FROM responses WHERE {ov.last_letter('response')} IS NOT NULL)""",
+        "mcq",
+        "responses",
+    ),
+)
+def pending_rows_colocated(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that no reply has answered, from the same buckets."""
+    items, replies = _colocated(spark, folder)
+    answered = replies.where(extract.last_letter(F.col("response")).isNotNull())
+    return pending(items, answered, "item_id").select("item_id", "question")
+
+
 @register(
     "missing_runs",
     ov.query(
@@ -454,6 +505,30 @@ def run_name_fields(spark: SparkSession, folder: str) -> DataFrame:
     return board.with_run_fields(names).withColumn("kd", F.col("kd").cast("string"))
 
 
+@register(
+    "runs_of_teacher_read",
+    ov.query(
+        f"""
+        SELECT run, method, n_train, count(*) AS n, count(pred) AS answered
+        FROM (SELECT *, {ov.last_letter_after('response', 'n_shot')} AS pred FROM grid_responses)
+             JOIN (SELECT run, method, n_train FROM named WHERE kd AND n_train >= 1000) USING (run)
+        GROUP BY ALL""",
+        "grid_responses",
+        counts="SELECT run, count(*) AS n FROM grid_responses GROUP BY run",
+        named=_NAMED,
+    ),
+)
+def runs_of_teacher_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies laid out by run, of which only those runs are read whose names say teacher and a thousand examples or more."""
+    path = scratch_path(spark, "grid")
+    replies = fx.grid_responses(spark, folder)
+    tables.write_responses(replies.hint("rebalance", "run"), path)
+    names = materialise(board.with_run_fields(replies.select("run").distinct()).select("run", "kd", "method", "n_train"), "run-names")
+    rows = tables.read_runs(spark, path, names.where("kd and n_train >= 1000"))
+    graded = rows.withColumn("pred", extract.last_letter_after(F.col("response"), F.col("n_shot")))
+    return graded.groupBy("run", "method", "n_train").agg(F.count("*").alias("n"), F.count("pred").alias("answered"))
+
+
 @register(
     "run_names_rebuilt",
     ov.query(

@@ -10,6 +10,8 @@ from quizlake.operators import fewshot, sampling
 from quizlake.plans import fixtures as fx
 from quizlake.plans import oracle_views as ov
 from quizlake.plans.registry import register
+from quizlake.session import scratch_path
+from quizlake.sources.sample_store import SampleStore
 
 _SEED = fv.SAMPLE_SEED
 _ORDER = f"{ov.seeded(_SEED, 'item_id')}, item_id"
@@ -40,6 +42,16 @@ def sample_stratified(spark: SparkSession, folder: str) -> DataFrame:
     return _stratified(spark, folder).select("item_id", "correct", "class_rank", "shuffle_key")
 
 
+@register("sample_grown", ov.query("SELECT item_id, correct FROM picked", "mcq", picked=_STRATIFIED))
+def sample_grown(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sample, kept while the kinds of items come in one after another."""
+    store = SampleStore(spark, scratch_path(spark, "sample"), fv.STRATIFIED_LIMIT // 5, "item_id", _SEED)
+    items = fx.mcq(spark, folder).select("item_id", "correct", "kind")
+    for part in ("kind < 'medium'", "kind >= 'medium' and kind < 'small'", "kind >= 'small'"):
+        store.update(items.where(part))
+    return store.sample(fv.STRATIFIED_LIMIT - 2).select("item_id", "correct")
+
+
 @register(
     "class_balance",
     ov.query("SELECT correct, count(*) AS n FROM picked GROUP BY 1", "mcq", picked=_STRATIFIED),

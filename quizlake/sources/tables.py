@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizlake.operators.joins import fits
+
+_BROADCAST_BYTES = 8 * 1024 * 1024
+
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A Parquet table, or just some of its columns."""
@@ -43,6 +47,28 @@ def write_responses(df: DataFrame, path: str, mode: str = "replace") -> None:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_colocated(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as table ``name`` of the session's catalog, its files under ``path``, dealt to ``buckets`` by
+    ``key`` and sorted by it.
+
+    Tables with one key and one number of buckets are joined, and grouped by the key, without a
+    shuffle. A bucket is read by one task: meant for keys none of which holds a large share of the
+    rows; others go through ``joins.attach``.
+    """
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def read_runs(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
+    """Responses laid out by run, with the columns of ``runs``, a row per run to read.
+
+    ``runs`` may come from conditions on other columns: where it is small it is broadcast, and Spark
+    reads the folders of its runs alone.
+    """
+    few = F.broadcast(runs) if fits(runs, _BROADCAST_BYTES) else runs
+    return spark.read.parquet(path).join(few, "run")
+
+
 def read_database_table(
     spark: SparkSession, url: str, table: str, driver: str, **options: str
 ) -> DataFrame:
