@@ -433,3 +433,27 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         F.when(alone, F.col("key_")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("key_")).otherwise(F.col("class_id")).alias("class_id"),
     )
+
+
+#: The query over ``documents`` in SQL: shingle sets, their self-join, and labels by reach.
+ORACLE = r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+        FROM d
+    ), sets AS (
+        SELECT doc_id, count(*) AS n, md5(string_agg(md5(g), '' ORDER BY md5(g))) AS print FROM s GROUP BY doc_id
+    ), links AS (
+        SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) p
+        JOIN sets m ON m.doc_id = p.a JOIN sets n ON n.doc_id = p.b WHERE 100 * p.c >= 75 * (m.n + n.n - p.c)
+    ), near AS (
+        SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+    ), reach AS (
+        SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.node
+    )
+    SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, least_reached AS component_id, CASE WHEN sets.n IS NULL THEN d.doc_id ELSE min(d.doc_id) OVER (PARTITION BY sets.print) END AS class_id
+    FROM d JOIN (SELECT node, min(root) AS least_reached FROM reach GROUP BY node) r ON r.node = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id
+"""

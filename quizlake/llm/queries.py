@@ -49,7 +49,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held, "text"), model)
 
 
-@_register("op1_ngram_jaccard_join")
+@_register("op1_ngram_jaccard_join", ngram_join.ORACLE)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose word five-gram sets are similar by 0.75 or more."""
     return ngram_join.jaccard_components(table(spark, folder, "documents"), words=5, percent=75)
