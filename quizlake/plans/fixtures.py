@@ -58,7 +58,7 @@ def mcq(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mcq_raw(spark: SparkSession, folder: str) -> DataFrame:
-    """Items with options as JSON text, four in fifty damaged or odd."""
+    """Items with options as JSON text, five in fifty damaged or odd."""
     items = mcq(spark, folder)
     case = F.col("item_id") % 50
     full = options_to_json(F.col("options"))
@@ -67,6 +67,7 @@ def mcq_raw(spark: SparkSession, folder: str) -> DataFrame:
         F.when(case == 0, F.substr(full, F.lit(1), F.length(full) - 3))
         .when(case == 1, options_to_json(F.slice("options", 1, 4)))
         .when(case == 3, options_to_json(quoted))
+        .when(case == 4, F.concat(F.lit("[null,"), F.substr(options_to_json(F.slice("options", 2, 4)), F.lit(2))))
         .otherwise(full)
     )
     correct = F.when(case == 2, "F").otherwise(F.col("correct"))
@@ -101,6 +102,18 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def talk(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns of conversations, three in four of which end in an answer."""
+    letter = _letter(F.col("conv_id") % 5)
+    ends = [
+        "",
+        F.concat(F.lit(" Answer: "), letter),
+        F.concat(F.lit(" Answer: A\nthe correct option is: "), F.lower(letter)),
+        F.concat(F.lit(" (the ANSWER IS "), letter, F.lit(")")),
+    ]
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.concat("text", _by_key(F.col("turn"), ends)).alias("text"))
+
+
 def strict_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Replies that keep to the prescribed closing sentence, more or less."""
     letter = _letter(F.substring("o_orderpriority", 1, 1).cast("int") - 1)

@@ -34,6 +34,7 @@ VIEWS: dict[str, str] = {
                                        length(CAST(to_json(options) AS VARCHAR)) - 3)
                     WHEN 1 THEN CAST(to_json(options[1:4]) AS VARCHAR)
                     WHEN 3 THEN CAST(to_json(list_concat(['A)say "x"'], options[2:5])) AS VARCHAR)
+                    WHEN 4 THEN '[null,' || substr(CAST(to_json(options[2:5]) AS VARCHAR), 2)
                     ELSE CAST(to_json(options) AS VARCHAR) END AS options_json,
                CASE WHEN item_id % 50 = 2 THEN 'F' ELSE correct END AS correct
         FROM mcq""",
@@ -54,6 +55,12 @@ VIEWS: dict[str, str] = {
                      'run_' || lower(o_orderstatus) AS run,
                      chr(64 + CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) AS l
               FROM orders)""",
+    "talk": """
+        SELECT conv_id, turn, text || CASE turn % 4
+                    WHEN 1 THEN ' Answer: ' || l
+                    WHEN 2 THEN ' Answer: A' || chr(10) || 'the correct option is: ' || lower(l)
+                    WHEN 3 THEN ' (the ANSWER IS ' || l || ')' ELSE '' END AS text
+        FROM (SELECT *, chr(CAST(65 + conv_id % 5 AS INTEGER)) AS l FROM conversations)""",
     "strict_responses": """
         SELECT response_id, item_id, run,
                CASE response_id % 4

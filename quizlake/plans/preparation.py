@@ -140,6 +140,7 @@ def correct_text(spark: SparkSession, folder: str) -> DataFrame:
 
 _REASON = """
     CASE WHEN options IS NULL THEN 'bad_options' WHEN len(options) <> 5 THEN 'option_count'
+         WHEN len(list_filter(options, lambda o: o IS NULL)) > 0 THEN 'null_option'
          WHEN correct NOT IN ('A','B','C','D','E') THEN 'bad_letter' ELSE 'ok' END"""
 
 

@@ -150,12 +150,13 @@ def numeric_in_documents(spark: SparkSession, folder: str) -> DataFrame:
     "letter_in_conversations",
     ov.query(
         f"SELECT conv_id, turn, {ov.last_letter('text')} AS last_letter,"
-        f" {ov.clean_letter('text')} AS clean_letter FROM conversations"
+        f" {ov.clean_letter('text')} AS clean_letter FROM talk",
+        "talk",
     ),
 )
 def letter_in_conversations(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
-    return fx.table(spark, folder, "conversations").select(
+    return fx.talk(spark, folder).select(
         "conv_id",
         "turn",
         extract.last_letter(text).alias("last_letter"),
