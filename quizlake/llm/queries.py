@@ -106,11 +106,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses")])
 
 
-@_register("op4_warc_derivatives", warc.ORACLE)
+@_register("op4_warc_derivatives", warc.oracle())
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    """Metadata and conversion records of every page."""
-    made = warc.derivatives(warc.responses_of_pages(table(spark, folder, "pages")), keep=["page_id"])
-    return made.drop("headers")
+    """Metadata and conversion records of every page, with their headers."""
+    return warc.derivatives(warc.responses_of_pages(table(spark, folder, "pages")), keep=["page_id"])
 
 
 @_register("op11_prefix_trie", prefix_trie.ORACLE)

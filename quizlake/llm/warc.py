@@ -17,38 +17,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-# The character references that are resolved; &amp; comes last, for it may make others.
-REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+# The named character references that are resolved, beside all numeric ones.
+REFERENCES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "hellip": "…",
+    "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "times": "×",
+}
+REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
 #: Elements that are no text, ends of blocks, and any other tag.
 DROPPED = r"(?is)<!--.*?-->|<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>"
 BLOCK_END = r"(?i)<br\b[^>]*>|</(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|head)\s*>"
 TAG = r"(?s)<[^>]*>"
 
 
-def plain_text(html: Column) -> Column:
-    """A page's text: blocks on lines of their own, runs of blanks as one, no empty lines."""
-    text = F.regexp_replace(html, DROPPED, " ")
-    text = F.regexp_replace(text, BLOCK_END, "\n")
-    text = F.regexp_replace(text, TAG, " ")
-    for name, letter in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(letter))
+#: The value of an attribute in any quoting.
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+LINK = r"""(?i)<a\b[^>]*?[\s"']href""" + _VALUE
+LANGUAGE = r"""(?i)<html\b[^>]*?[\s"']lang""" + _VALUE
+
+
+def without_dropped(html: Column) -> Column:
+    """A page without comments, scripts, styles and the like."""
+    return F.regexp_replace(html, DROPPED, " ")
+
+
+def _resolved(name: Column) -> Column:
+    """The character of a reference; a code that is none gives U+FFFD, an unknown name stays as it is."""
+    hexadecimal = F.lower(F.substring(name, 1, 2)) == "#x"
+    code = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).cast("bigint")
+    none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    number = F.when(none, 0xFFFD).otherwise(code)
+    letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    names = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+    named = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name, F.lit(";")))
+    return F.when(name.startswith("#"), letter).otherwise(named)
+
+
+def resolved(text: Column) -> Column:
+    """A text with its character references resolved, each once."""
+    parts = F.zip_with(
+        F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), 1), lambda part, name: F.concat(part, F.coalesce(_resolved(name), F.lit("")))
+    )
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
+def plain_text(bare: Column) -> Column:
+    """Text of a page ``without_dropped``: blocks on lines of their own, runs of blanks as one, no empty lines."""
+    text = F.regexp_replace(bare, BLOCK_END, "\n")
+    text = resolved(F.regexp_replace(text, TAG, " "))
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
 
 
-def links(html: Column) -> Column:
-    """Addresses of the page's links, in order."""
-    return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)\""""), 1)
+def _unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
 
 
-def title(html: Column) -> Column:
+def links(bare: Column) -> Column:
+    """Addresses of the links of a page ``without_dropped``, in order, as they are written."""
+    return F.transform(F.regexp_extract_all(bare, F.lit(LINK), 1), _unquoted)
+
+
+def title(bare: Column) -> Column:
     """Text of the first title element, null without one."""
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
+    found = F.regexp_extract(bare, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
     return F.when(found != "", F.trim(F.regexp_replace(found, r"\s+", " ")))
 
 
-def language(html: Column) -> Column:
-    found = F.regexp_extract(html, r"""(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)\"""", 1)
+def language(bare: Column) -> Column:
+    found = _unquoted(F.regexp_extract(bare, LANGUAGE, 1))
     return F.when(found != "", F.lower(found))
 
 
@@ -97,14 +133,16 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
         "target_uri",
         F.col("date").alias("date_"),
         F.coalesce(F.col("payload"), F.lit("")).alias("payload_"),
+        without_dropped(F.coalesce(F.col("payload"), F.lit(""))).alias("bare_"),
         F.regexp_extract(F.coalesce(F.col("http_headers"), F.lit("")), r"(?im)^content-type:\s*([^\r\n]*)", 1).alias("type_"),
+        F.filter(F.split(F.coalesce(F.col("http_headers"), F.lit("")), r"\r?\n"), lambda line: line.rlike(r"^[^:\s]+:")).alias("lines_"),
     )
-    html = F.col("payload_")
-    out = links(html)
+    html, bare = F.col("payload_"), F.col("bare_")
+    out = links(bare)
     fields = F.concat_ws(
         "",
-        F.when(title(html).isNotNull(), F.concat(F.lit("title: "), title(html), F.lit(CRLF))),
-        F.when(language(html).isNotNull(), F.concat(F.lit("language: "), language(html), F.lit(CRLF))),
+        F.when(title(bare).isNotNull(), F.concat(F.lit("title: "), title(bare), F.lit(CRLF))),
+        F.when(language(bare).isNotNull(), F.concat(F.lit("language: "), language(bare), F.lit(CRLF))),
         F.when(F.size(out) > 0, F.concat(F.array_join(F.transform(out, lambda u: F.concat(F.lit("outlink: "), u)), CRLF), F.lit(CRLF))),
     )
     both = source.select(
@@ -112,7 +150,7 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
         digest(html).alias("source_digest"),
         F.explode(F.array(
             F.struct(F.lit("metadata").alias("kind"), fields.alias("block"), F.lit("application/warc-fields").alias("mime")),
-            F.struct(F.lit("conversion").alias("kind"), plain_text(html).alias("block"), F.lit("text/plain; charset=utf-8").alias("mime")),
+            F.struct(F.lit("conversion").alias("kind"), plain_text(bare).alias("block"), F.lit("text/plain; charset=utf-8").alias("mime")),
         )).alias("r"),
     )
     block = F.col("r.block")
@@ -121,15 +159,17 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
     made = both.select(
         *keep, kind.alias("record_type"), own_id.alias("record_id"), "refers_to", "target_uri", "date_",
         F.when(F.col("type_") != "", F.col("type_")).alias("source_type"), "source_digest",
-        block.alias("block"), digest(block).alias("block_digest"), F.octet_length(block).cast("long").alias("content_length"), F.col("r.mime").alias("mime_"),
+        block.alias("block"), digest(block).alias("block_digest"), F.octet_length(block).cast("long").alias("content_length"), F.col("r.mime").alias("mime_"), "lines_",
     )
+    # Every header line of the source, under a name that tells whose it is.
+    sources = F.concat_ws("", F.transform("lines_", lambda line: F.concat(F.lit("X-Source-"), line, F.lit(CRLF))))
     headers = _headers([
         ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Refers-To", F.col("refers_to")),
         ("WARC-Refers-To-Target-URI", F.col("target_uri")), ("WARC-Target-URI", F.col("target_uri")), ("WARC-Date", F.col("date_")),
-        ("X-Source-Content-Type", F.col("source_type")), ("X-Source-Payload-Digest", F.col("source_digest")),
+        ("X-Source-Payload-Digest", F.col("source_digest")),
         ("WARC-Block-Digest", F.col("block_digest")), ("Content-Type", F.col("mime_")), ("Content-Length", F.col("content_length").cast("string")),
     ])
-    return made.withColumn("headers", headers).drop("date_", "mime_")
+    return made.withColumn("headers", F.concat(headers, sources)).drop("date_", "mime_", "lines_")
 
 
 def record_bytes(headers: Column, block: Column) -> Column:
@@ -137,40 +177,54 @@ def record_bytes(headers: Column, block: Column) -> Column:
     return F.concat(headers, F.lit(CRLF), block, F.lit(CRLF + CRLF)).cast("binary")
 
 
-ORACLE = r"""
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def oracle() -> str:
+    """The query over ``pages`` in SQL."""
+    names = ", ".join(f"{_sql(n)}: {_sql(c)}" for n, c in REFERENCES.items())
+    code = "(CASE WHEN lower(x[1:2]) = '#x' THEN CAST('0x' || x[3:] AS BIGINT) ELSE CAST(x[2:] AS BIGINT) END)"
+    letter = f"CASE WHEN {code} = 0 OR {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) ELSE chr(CAST({code} AS INTEGER)) END"
+    one = f"CASE WHEN x[1:1] = '#' THEN {letter} ELSE coalesce(names[x], '&' || x || ';') END"
+    unquoted = "regexp_replace({0}, '^[\"'']|[\"'']$', '', 'g')"
+    crlf = "chr(13) || chr(10)"
+    fields = [
+        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "target_uri"),
+        ("WARC-Target-URI", "target_uri"), ("X-Source-Payload-Digest", "source_digest"), ("WARC-Block-Digest", "block_digest"),
+        ("Content-Type", "CASE record_type WHEN 'metadata' THEN 'application/warc-fields' ELSE 'text/plain; charset=utf-8' END"), ("Content-Length", "content_length::VARCHAR"),
+        ("X-Source-Content-Type", "source_type"), ("X-Source-Content-Length", "strlen(html)::VARCHAR"),
+    ]
+    headers = " || ".join([f"'WARC/1.1' || {crlf}"] + [f"coalesce('{name}: ' || {value} || {crlf}, '')" for name, value in fields])
+    uuid = "'<urn:uuid:' || {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] || '>'"
+    return f"""
     WITH p AS (
-        SELECT page_id, url AS target_uri, coalesce(html, '') AS html,
-               '<urn:uuid:' || u[1:8] || '-' || u[9:12] || '-' || u[13:16] || '-' || u[17:20] || '-' || u[21:32] || '>' AS refers_to
+        SELECT page_id, url AS target_uri, coalesce(html, '') AS html, {uuid.format('u')} AS refers_to,
+               regexp_replace(coalesce(html, ''), {_sql(DROPPED)}, ' ', 'g') AS bare, MAP {{{names}}} AS names
         FROM (SELECT *, md5(coalesce(page_id::VARCHAR, '') || ' ' || coalesce(url, '') || ' response') AS u FROM pages)
     ), parts AS (
-        SELECT *, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1) AS t,
-               lower(regexp_extract(html, '(?i)<html\b[^>]*?\blang\s*=\s*"([^"]*)"', 1)) AS l,
-               regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"', 1) AS o,
-               regexp_replace(regexp_replace(regexp_replace(html,
-                   '(?is)<!--.*?-->|<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>', ' ', 'g'),
-                   '(?i)<br\b[^>]*>|</(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|head)\s*>', chr(10), 'g'),
-                   '(?s)<[^>]*>', ' ', 'g') AS bare
+        SELECT *, regexp_extract(bare, '(?is)<title[^>]*>(.*?)</title\\s*>', 1) AS t, lower({unquoted.format(f"regexp_extract(bare, {_sql(LANGUAGE)}, 1)")}) AS l,
+               list_transform(regexp_extract_all(bare, {_sql(LINK)}, 1), lambda x: {unquoted.format('x')}) AS o,
+               regexp_replace(regexp_replace(bare, {_sql(BLOCK_END)}, chr(10), 'g'), {_sql(TAG)}, ' ', 'g') AS shown
         FROM p
+    ), pieces AS (
+        SELECT *, string_split_regex(shown, {_sql(REFERENCE.replace('(', '(?:', 1))}) AS k, list_transform(regexp_extract_all(shown, {_sql(REFERENCE)}, 1), lambda x: {one}) AS r FROM parts
     ), clean AS (
-        SELECT *, regexp_replace(replace(replace(replace(replace(replace(replace(replace(bare,
-                   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
-                   '[ \t\r\f]+', ' ', 'g') AS spaced
-        FROM parts
+        SELECT *, regexp_replace(array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || coalesce(r[i], '')), ''), '[ \\t\\r\\f]+', ' ', 'g') AS spaced FROM pieces
     ), blocks AS (
         SELECT page_id, 'conversion' AS record_type, refers_to, target_uri, html,
-               trim(regexp_replace(regexp_replace(spaced, ' ?\n[ \n]*', chr(10), 'g'), '^\n+|\n+$', '', 'g'), ' ') AS block
+               trim(regexp_replace(regexp_replace(spaced, ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'), ' ') AS block
         FROM clean
         UNION ALL
         SELECT page_id, 'metadata', refers_to, target_uri, html,
-               CASE WHEN t <> '' THEN 'title: ' || trim(regexp_replace(t, '\s+', ' ', 'g')) || chr(13) || chr(10) ELSE '' END
-               || CASE WHEN l <> '' THEN 'language: ' || l || chr(13) || chr(10) ELSE '' END
-               || CASE WHEN len(o) > 0 THEN array_to_string(list_transform(o, lambda x: 'outlink: ' || x), chr(13) || chr(10)) || chr(13) || chr(10) ELSE '' END
+               CASE WHEN t <> '' THEN 'title: ' || trim(regexp_replace(t, '\\s+', ' ', 'g')) || {crlf} ELSE '' END
+               || CASE WHEN l <> '' THEN 'language: ' || l || {crlf} ELSE '' END
+               || CASE WHEN len(o) > 0 THEN array_to_string(list_transform(o, lambda x: 'outlink: ' || x), {crlf}) || {crlf} ELSE '' END
         FROM clean
+    ), made AS (
+        SELECT page_id, record_type, target_uri, refers_to, {uuid.format('i')} AS record_id, 'text/html; charset=utf-8' AS source_type,
+               'sha256:' || sha256(html) AS source_digest, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS content_length, block, html
+        FROM (SELECT *, md5(refers_to || ' ' || record_type) AS i FROM blocks)
     )
-    SELECT page_id, record_type, target_uri, refers_to,
-           '<urn:uuid:' || i[1:8] || '-' || i[9:12] || '-' || i[13:16] || '-' || i[17:20] || '-' || i[21:32] || '>' AS record_id,
-           'text/html; charset=utf-8' AS source_type,
-           'sha256:' || sha256(html) AS source_digest, 'sha256:' || sha256(block) AS block_digest,
-           strlen(block)::BIGINT AS content_length, block
-    FROM (SELECT *, md5(refers_to || ' ' || record_type) AS i FROM blocks)
-"""
+    SELECT * EXCLUDE (html), {headers} AS headers FROM made
+    """

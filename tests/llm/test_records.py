@@ -1,7 +1,10 @@
 """WARC derivatives and licence scans: SQL, fixed cases and oddities."""
 
 import hashlib
+import random
 
+import duckdb
+import pandas as pd
 import pytest
 
 from quizlake.llm import licenses, warc
@@ -71,6 +74,38 @@ def test_derivatives(spark):
     assert first["conversion"]["source_digest"] == "sha256:" + hashlib.sha256(payload).hexdigest()
 
 
+ODD = """<html
+ LANG='De-at'><title>x</title><!-- <a href="/no">n</a> --><a href='/one'>1</a><A class=q HREF=/two>2</A><a data-href="/no2" href = "/three?a=1&amp;b=2">3</a>
+<a name=x>4</a><script>document.write('<a href="/no3">')</script><p>It&#8217;s &#x1F642; &mdash; &amp;lt; &nope; &#0;&#xD800;&#9999999; a&b;c &copy</p>"""
+
+
+def test_odd_markup(spark):
+    made = warc.derivatives(warc.responses_of_pages(spark.createDataFrame([(1, "u", ODD)], "page_id long, url string, html string"))).collect()
+    block = {r["record_type"]: r["block"] for r in made}
+    assert block["metadata"].split("\r\n") == ["title: x", "language: de-at", "outlink: /one", "outlink: /two", "outlink: /three?a=1&amp;b=2", ""]
+    assert block["conversion"].split("\n")[-1] == "4 It’s 🙂 — &lt; &nope; \ufffd\ufffd\ufffd a&b;c &copy"
+
+
+def test_odd_markup_by_sql(spark):
+    rng = random.Random(3)
+    parts = ["<a href=", "'x'", '"y z"', "/q>", "<!--", "-->", "<p>", "</p>", "&#8217;", "&#x2014;", "&amp;", "&#55296;", "&eacute;", "<html lang=", "é", " ", "\n", "<title>", "</title>", "<br/>", ">", "<script>", "</script>"]
+    rows = [(i, "u", "".join(rng.choice(parts) for _ in range(rng.randrange(60)))) for i in range(300)] + [(900, "u", ODD), (901, None, None)]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])  # noqa: F841 - read by DuckDB
+    want = duckdb.sql(warc.oracle())
+    made = warc.derivatives(warc.responses_of_pages(spark.createDataFrame(rows, "page_id long, url string, html string")), keep=["page_id"])
+    assert sorted(map(str, (tuple(r) for r in made.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_every_header_of_the_source_is_kept(spark):
+    head = "HTTP/1.1 200 OK\r\nServer: a: b\r\nSet-Cookie: x\r\nSet-Cookie: y\r\nContent-Type: text/html\r\n\r\n"
+    one = spark.createDataFrame([("<urn:1>", "http://u/", "2024-01-01T00:00:00Z", head, "<p>t")], "record_id string, target_uri string, date string, http_headers string, payload string")
+    for r in warc.derivatives(one).collect():
+        assert [line for line in r["headers"].split("\r\n") if line.startswith("X-Source-") and "Digest" not in line] == [
+            "X-Source-Server: a: b", "X-Source-Set-Cookie: x", "X-Source-Set-Cookie: y", "X-Source-Content-Type: text/html"
+        ]
+        assert r["source_type"] == "text/html" and "WARC-Date: 2024-01-01T00:00:00Z\r\n" in r["headers"]
+
+
 def test_whole_records(spark):
     pages = spark.createDataFrame(PAGES[:1], "page_id long, url string, html string")
     made = warc.derivatives(warc.responses_of_pages(pages))
