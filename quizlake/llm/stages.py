@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.llm import langid, ngram_join, packing, substring_dedup, toxicity
-from quizlake.llm.tables import table
+from quizlake.llm.tables import small_batches, table
 
 #: Least pooled probability of the language found; below, the text is of no language learned.
 LEAST_SCORE = 0.35
@@ -35,7 +35,8 @@ def _sent(keys: DataFrame) -> DataFrame:
 def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
     """Documents whose text is not among the rejected prints. Texts go to Python once and do not come
     back; their documents are dropped where they lie."""
-    drop = ngram_join.materialise(rejected.select("print1_", "print2_").distinct(), name)
+    with small_batches(docs.sparkSession):
+        drop = ngram_join.materialise(rejected.select("print1_", "print2_").distinct(), name)
     one, two = _prints(docs)
     return docs.join(_sent(drop), (one == F.col("print1_")) & (two == F.col("print2_")), "left_anti")
 

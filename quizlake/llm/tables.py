@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,6 +15,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Plans that run inside hand at most ``rows`` rows at once to Python: long texts beside each other
+    then take little memory on both sides. The session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def vocabulary_path(name: str) -> str:
     """Place of a public vocabulary file on whichever machine asks."""
     return public_tokenizers.path(name)

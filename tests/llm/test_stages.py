@@ -1,5 +1,8 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from quizlake.llm import stages
+from quizlake.llm.tables import small_batches
 from tests.llm.conftest import SCHEMA, edited, rows, words
 
 
@@ -38,3 +41,16 @@ def test_repeats_are_cut_and_lengths_follow(spark, folder):
     assert set(kept) == {1, 2, 4}
     assert kept[2]["text"].split() == ["start", "end"] and kept[2]["n_chars"] == len(kept[2]["text"])
     assert kept[1]["text"] == texts[0][1] and kept[4]["text"] == "clean text"
+
+
+def test_smaller_batches_hold_inside_only(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark, 7):
+        sizes = [r["n"] for r in spark.range(0, 30, 1, 1).mapInArrow(count_rows, "n long").collect()]
+    assert sizes == [7, 7, 7, 7, 2] and spark.conf.get(name) == before
+
+
+def count_rows(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
