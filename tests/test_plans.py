@@ -15,11 +15,23 @@ PYTHON = {"annotate_batch", "generate_and_score"}
 WRITING = {
     "annotate_until_target",
     "csv_file_status",
+    "csv_grid_scored",
+    "csv_quarantine",
     "csv_runs_scored",
+    "database_scan",
+    "em_by_run_colocated",
+    "encoded_batches",
     "encoded_documents",
     "encoded_examples",
     "encoded_longest",
+    "generate_and_score_modes",
+    "pending_rows_colocated",
+    "result_table_interleaved",
     "result_table_resumed",
+    "runs_of_teacher_read",
+    "runs_rewritten",
+    "sample_grown",
+    "score_sheet_grown",
     "split_scan",
 }
 # Reports of a few rows in order.
