@@ -406,7 +406,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     described = materialise(source.mapInArrow(lambda b: _describe(b, words), "key_ long, n long, one long, two long, counted long"), "sets")
     keyed = described.where("key_ is not null and n > 0")
     classes = keyed.groupBy("one", "two").agg(F.min("key_").alias("rep"), F.first("n").alias("n"), F.first("counted").alias("counted"))
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A class is named once in every bucket: two a partition spread them well enough.
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = source.where("key_ is not null").mapInArrow(lambda b: _occurrences(b, words, buckets), "bucket int, prints binary, tokens binary, places binary")
     shared = packed.repartition("bucket").mapInArrow(lambda b: _shared(b, buckets), "classes int, prints binary, hits binary")
     hits = shared.repartition("classes").mapInArrow(_summed, "one long, hits long")
