@@ -22,7 +22,7 @@ REFERENCES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "hellip": "…",
     "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "times": "×",
 }
-REFERENCE = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});"
+REFERENCE = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8}"
 #: Elements that are no text, ends of blocks, and any other tag.
 DROPPED = r"(?is)<!--.*?-->|<(?:script|style|noscript|template)\b[^>]*>.*?</(?:script|style|noscript|template)\s*>"
 BLOCK_END = r"(?i)<br\b[^>]*>|</(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer|title|head)\s*>"
@@ -40,32 +40,37 @@ def without_dropped(html: Column) -> Column:
     return F.regexp_replace(html, DROPPED, " ")
 
 
-def _resolved(name: Column) -> Column:
-    """The character of a reference; a code that is none gives U+FFFD, an unknown name stays as it is."""
+def _letter(name: Column) -> Column:
+    """The character of a reference; a code that is none gives U+FFFD, an unknown name null."""
     hexadecimal = F.lower(F.substring(name, 1, 2)) == "#x"
     code = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.substr(name, F.lit(2))).cast("bigint")
     none = (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
-    number = F.when(none, 0xFFFD).otherwise(code)
-    letter = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    letter = F.decode(F.unhex(F.lpad(F.hex(F.when(none, 0xFFFD).otherwise(code)), 8, "0")), "UTF-32")
     names = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
-    named = F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name, F.lit(";")))
-    return F.when(name.startswith("#"), letter).otherwise(named)
+    return F.when(name.startswith("#"), letter).otherwise(F.try_element_at(names, name))
 
 
 def resolved(text: Column) -> Column:
-    """A text with its character references resolved, each once."""
-    parts = F.zip_with(
-        F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), 1), lambda part, name: F.concat(part, F.coalesce(_resolved(name), F.lit("")))
-    )
-    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+    """A text with its character references resolved, each once; what is none stays as it is."""
+
+    def piece(part: Column, i: Column) -> Column:
+        # What stands between an ampersand and the first semicolon behind it.
+        end = F.instr(part, ";")
+        name = F.substr(part, F.lit(1), end - 1)
+        letter = F.when((end > 2) & (end < 11) & name.rlike(f"^(?:{REFERENCE})$"), _letter(name))
+        told = F.coalesce(F.concat(letter, F.substr(part, end + 1)), F.concat(F.lit("&"), part))
+        return F.when(i == 0, part).otherwise(told)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), piece), "")).otherwise(text)
 
 
 def plain_text(bare: Column) -> Column:
     """Text of a page ``without_dropped``: blocks on lines of their own, runs of blanks as one, no empty lines."""
     text = F.regexp_replace(bare, BLOCK_END, "\n")
     text = resolved(F.regexp_replace(text, TAG, " "))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
+    text = F.regexp_replace(text, r"[ \t\r\f]{2,}|[\t\r\f]", " ")
+    lines = F.replace(F.regexp_replace(text, r"\n[ \n]+", "\n"), F.lit(" \n"), F.lit("\n"))
+    return F.trim(F.btrim(lines, F.lit("\n")))
 
 
 def _unquoted(value: Column) -> Column:
@@ -138,11 +143,13 @@ def derivatives(responses: DataFrame, keep: list[str] | None = None) -> DataFram
         F.filter(F.split(F.coalesce(F.col("http_headers"), F.lit("")), r"\r?\n"), lambda line: line.rlike(r"^[^:\s]+:")).alias("lines_"),
     )
     html, bare = F.col("payload_"), F.col("bare_")
-    out = links(bare)
+    # Columns of their own: each is worked out once.
+    source = source.select("*", links(bare).alias("links_"), title(bare).alias("title_"), language(bare).alias("language_"))
+    out = F.col("links_")
     fields = F.concat_ws(
         "",
-        F.when(title(bare).isNotNull(), F.concat(F.lit("title: "), title(bare), F.lit(CRLF))),
-        F.when(language(bare).isNotNull(), F.concat(F.lit("language: "), language(bare), F.lit(CRLF))),
+        F.concat(F.lit("title: "), F.col("title_"), F.lit(CRLF)),
+        F.concat(F.lit("language: "), F.col("language_"), F.lit(CRLF)),
         F.when(F.size(out) > 0, F.concat(F.array_join(F.transform(out, lambda u: F.concat(F.lit("outlink: "), u)), CRLF), F.lit(CRLF))),
     )
     both = source.select(
@@ -208,7 +215,7 @@ def oracle() -> str:
                regexp_replace(regexp_replace(bare, {_sql(BLOCK_END)}, chr(10), 'g'), {_sql(TAG)}, ' ', 'g') AS shown
         FROM p
     ), pieces AS (
-        SELECT *, string_split_regex(shown, {_sql(REFERENCE.replace('(', '(?:', 1))}) AS k, list_transform(regexp_extract_all(shown, {_sql(REFERENCE)}, 1), lambda x: {one}) AS r FROM parts
+        SELECT *, string_split_regex(shown, {_sql(f"&(?:{REFERENCE});")}) AS k, list_transform(regexp_extract_all(shown, {_sql(f"&({REFERENCE});")}, 1), lambda x: {one}) AS r FROM parts
     ), clean AS (
         SELECT *, regexp_replace(array_to_string(list_transform(range(1, len(k) + 1), lambda i: k[i] || coalesce(r[i], '')), ''), '[ \\t\\r\\f]+', ' ', 'g') AS spaced FROM pieces
     ), blocks AS (
