@@ -56,7 +56,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document, that of the least key, of every group of similar ones; rows without a key stay.
     Of rows that repeat a key, one stays for each of their texts."""
-    found = ngram_join.materialise(ngram_join.jaccard_components(docs), "components")
+    with small_batches(spark):
+        found = ngram_join.materialise(ngram_join.jaccard_components(docs), "components")
     drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("drop_")).distinct()
     kept = docs.join(_sent(drop), F.col("doc_id") == F.col("drop_"), "left_anti")
     twice = found.where("doc_id is not null and component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_"))
@@ -69,7 +70,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without the passages that an earlier one holds; ``n_chars`` follows the text. A
     document of which no word is left goes."""
-    passages = ngram_join.materialise(substring_dedup.repeated_passages(docs), "passages")
+    with small_batches(spark):
+        passages = ngram_join.materialise(substring_dedup.repeated_passages(docs), "passages")
     cut = substring_dedup.without_passages(docs, passages)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if "n_chars" in docs.columns:
