@@ -162,7 +162,9 @@ class DatabaseFileWriter(ds.DataSourceArrowWriter):
         if odd:
             raise ValueError(f"no column type for {odd} in a database file")
         self.path, self.table, self.schema, self.overwrite = path, table, schema, overwrite
+        # Made here and not by the tasks: one that outlives an abort must not make it again.
         self.staging = f"{path}/_staging-{uuid.uuid4().hex}"
+        os.makedirs(self.staging)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         file, connection = None, None
@@ -172,7 +174,6 @@ class DatabaseFileWriter(ds.DataSourceArrowWriter):
             if not batch.num_rows:
                 continue
             if connection is None:
-                os.makedirs(self.staging, exist_ok=True)
                 file = f"{self.staging}/part-{uuid.uuid4().hex}.db"
                 connection = sqlite3.connect(file, isolation_level=None)
                 # Nobody reads the file before it is committed as a whole.
