@@ -137,3 +137,33 @@ def test_languages_whose_texts_begin_with_numbers_are_learned(spark):
 def test_rows_that_repeat_do_not_widen_the_training_sample(spark):
     docs = spark.createDataFrame([(1, "the same words again", "en")] * 3000 + [(2, "und noch einmal", "de")], "doc_id long, text string, lang string")
     assert len(langid.training_rows(docs, "doc_id", "text", "lang", F.lit(True))) <= 2 * langid.PER_LANGUAGE
+
+
+def cumulative_link_loss(weights, thresholds, rows, penalty):
+    """Mean negative log-likelihood of the grades by the textbook's formula, row by row."""
+    total = 0.0
+    for features, grade in rows:
+        score = sum(weights[i] * x for i, x in features.items())
+        tails = [1.0] + [1 / (1 + np.exp(t - score)) for t in thresholds] + [0.0]
+        total -= np.log(max(tails[grade] - tails[grade + 1], 1e-12))
+    return total / len(rows) + penalty / 2 * float((weights**2).sum())
+
+
+def test_the_ordinal_fit_is_a_minimum_of_the_plain_loss():
+    rng = np.random.default_rng(8)
+    truth, cuts = np.array([1.5, -1.0, 0.5, 0.0]), np.array([0.3, 1.2, 2.0])
+    rows = []
+    for _ in range(400):
+        features = {int(i): float(x) for i, x in enumerate(rng.normal(size=4)) if rng.random() < 0.8}
+        score = sum(truth[i] * x for i, x in features.items()) + rng.logistic()
+        rows.append((features, int((score > cuts).sum())))
+    weights, thresholds = toxicity.fit_ordinal(rows, 4, steps=3000, penalty=2e-4)
+    assert (np.diff(thresholds) > 0).all()
+    best = cumulative_link_loss(weights, thresholds, rows, 2e-4)
+    assert best <= cumulative_link_loss(truth, cuts, rows, 2e-4) + 1e-3
+    for i in range(7):
+        for step in (-0.05, 0.05):
+            w, t = weights.copy(), thresholds.copy()
+            (w if i < 4 else t)[i if i < 4 else i - 4] += step
+            assert cumulative_link_loss(w, t, rows, 2e-4) >= best - 1e-5
+    assert np.abs(weights - truth).max() < 0.5 and np.abs(thresholds - cuts).max() < 0.5
