@@ -2,7 +2,7 @@
 
 Rows are numbered in the order of their length, equal lengths by a seeded hash, and every ``size`` of
 them are a batch. Lengths are cut where encoding cuts them, so there are few; a histogram over
-(length, stretch of hashes), with as many stretches as keep each near a million rows, gives each
+(length, stretch of hashes), with as many stretches as keep each near fifty thousand rows, gives each
 group its place, and rows are numbered within their group. No task sorts more than a group.
 """
 
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quizlake import fixed_values as fv
 from quizlake.functions.hashing import seeded_hash
 
-#: Rows that one task numbers, about.
-GROUP_ROWS = 1_000_000
+#: Rows that one task numbers, about: their texts come along, some kilobytes each.
+GROUP_ROWS = 50_000
 
 
 def length_batches(
@@ -38,7 +38,7 @@ def length_batches(
     cut = F.broadcast(counts.select(F.col(length).alias("_length"), stretches.alias("_stretches")))
     number = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint")
     grouped = hashed.join(cut, F.col(length).eqNullSafe(F.col("_length"))).withColumn("_stretch", F.floor(number * F.col("_stretches") / 2**32))
-    # A row per group of about a million: the totals before each are small enough for one task.
+    # A row per group of many thousands: the totals before each are small enough for one task.
     groups = grouped.groupBy("_length", "_stretch").agg(F.count("*").alias("_rows"))
     running = Window.orderBy(F.col("_length").asc_nulls_first(), "_stretch").rowsBetween(Window.unboundedPreceding, -1)
     before = groups.select(F.struct("_length", "_stretch").alias("_group"), F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_before"))

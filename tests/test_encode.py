@@ -126,3 +126,20 @@ def test_own_batches_pad_less(spark, vocabulary):
         assert len(r["text_ids"]) == max(len([x for x in q["text_mask"] if x]) for q in tight.where(f"batch = {r['batch']}").collect()) if r["key"] < 2 else True
     with pytest.raises(ValueError):
         enc.encode(df, "key", {"text": 4}, vocabulary, batch_size=3)
+
+
+def test_rows_of_one_length_are_numbered_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from quizlake.operators.batches import length_batches
+
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        numbered = length_batches(spark.range(200_000).withColumn("n", F.lit(512)), "id", "n", 32)
+        per_task = [r["count"] for r in numbered.select(F.spark_partition_id().alias("p"), "batch").groupBy("p").count().collect()]
+        assert sum(per_task) == 200_000 and max(per_task) < 200_000
+        assert numbered.groupBy("batch").count().where("count != 32").count() == 0
+    finally:
+        spark.conf.set(name, before)
