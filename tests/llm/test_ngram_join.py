@@ -122,3 +122,14 @@ def test_components_of_chains_and_stars(spark):
 def test_bounds_of_the_threshold(nothing):
     with pytest.raises(ValueError):
         jaccard_components(nothing, percent=40)
+
+
+def test_texts_go_to_python_in_small_batches_and_leave_no_shuffle_files(spark, monkeypatch):
+    from quizlake.llm import ngram_join
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    before, seen = [spark.conf.get(n) for n in names], []
+    inner = ngram_join._components
+    monkeypatch.setattr(ngram_join, "_components", lambda *a: (seen.append(int(spark.conf.get(names[0]))), inner(*a))[1])
+    ngram_join.jaccard_components(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"))
+    assert seen == [ngram_join.BATCH] and [spark.conf.get(n) for n in names] == before
