@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quizlake.llm.tables import vocabulary_path
+from quizlake.llm.tables import hand_back, vocabulary_path
 
 #: Fixed value: the split pattern of byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,7 +39,7 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 ROUND = 64
 #: Part of a round's capacity that is left free, so that few rounds need a window more.
 SLACK = 1 / 128
-#: Pieces of text remembered by a worker before it starts afresh: bounds memory, not the result.
+#: Pieces of text remembered by a task before it starts afresh: bounds memory, not the result.
 REMEMBERED = 600_000
 
 
@@ -226,20 +226,25 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str, end
             ["key_", *_PIECE.names],
         )
 
-    for batch in batches:
-        kind = batch.column("key_").type
-        for key, text in zip(batch.column("key_").to_pylist(), batch.column("text_")):
-            row = (key, encoder.encode(text.as_py() or "") + end)
-            for piece in task.add(row, len(row[1]) // 4):
-                out.append(piece)
-                size += piece[2]
-            if size > 2_000_000:
-                yield made()
-                out, size = [], 0
-    while task.blocks:
-        out += task.deal()
-    if out:
-        yield made()
+    try:
+        for batch in batches:
+            kind = batch.column("key_").type
+            for key, text in zip(batch.column("key_").to_pylist(), batch.column("text_")):
+                row = (key, encoder.encode(text.as_py() or "") + end)
+                for piece in task.add(row, len(row[1]) // 4):
+                    out.append(piece)
+                    size += piece[2]
+                if size > 2_000_000:
+                    yield made()
+                    out, size = [], 0
+        while task.blocks:
+            out += task.deal()
+        if out:
+            yield made()
+    finally:
+        # The worker goes on to other stages' tasks, which would carry what it remembers.
+        encoder.known.clear()
+        hand_back()
 
 
 def pack(

@@ -2,10 +2,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from quizlake.llm import packing
 from quizlake.llm.packing import ByteLevelEncoder, fill, level, pack
 from quizlake.llm.queries import QUERIES
 from quizlake.llm.tables import vocabulary_path
@@ -100,3 +102,10 @@ def test_texts_are_encoded_as_by_the_library():
     odd += ["".join(rng.choice("ab1! \n\t'séΣ ") for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
     for text in odd:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(text)[:-1], repr(text)
+
+
+def test_a_task_leaves_no_remembered_pieces_to_its_worker(monkeypatch):
+    monkeypatch.setattr(packing, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 0})())}))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text of some words"])], ["key_", "text_"])
+    assert sum(out.num_rows for out in packing._pack(iter([batch]), 2048, "byte_bpe_50k.json", 1)) == 1
+    assert not packing._encoder("byte_bpe_50k.json").known
